@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rillmark.llm import leakage
+from rillmark.llm import leakage, pii
 from rillmark.llm.queries import add
 from rillmark.session import table
 
@@ -19,3 +19,15 @@ def _passages(spark, sf_dir):
 def p6_found(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return leakage.leaked_items(docs, "doc_id", "text", _passages(spark, sf_dir), "item_id", "passage")
+
+
+@add("p8_found")
+def p8_found(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    found = pii.find_personal_data(docs, "doc_id", "text", table(spark, sf_dir, "known_names"))
+    return found.select("doc_id", "pii_type", "pii_text").distinct()
+
+
+@add("p8_redacted")
+def p8_redacted(spark, sf_dir):
+    return pii.redact_personal_data(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "known_names"))
