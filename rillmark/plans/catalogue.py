@@ -5,3 +5,16 @@ from __future__ import annotations
 from rillmark.plans import Registry
 
 REGISTRY = Registry()
+
+MODULES = ("text_queries",)
+
+
+def load() -> None:
+    """Import the modules that register queries."""
+    from importlib import import_module
+
+    for name in MODULES:
+        import_module(f"rillmark.plans.{name}")
+
+
+load()
