@@ -33,6 +33,11 @@ CATEGORY_RULES = (
 )
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once a row, even where ``use`` reads it inside a lambda."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def clean_text(text: Column) -> Column:
     """Control characters to blanks, boilerplate lines dropped, at most one blank line, stripped. Null stays null."""
     t = F.regexp_replace(text, r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", " ")

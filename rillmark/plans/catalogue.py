@@ -6,7 +6,7 @@ from rillmark.plans import Registry
 
 REGISTRY = Registry()
 
-MODULES = ("text_queries",)
+MODULES = ("text_queries", "metric_queries", "corpus_queries")
 
 
 def load() -> None:
