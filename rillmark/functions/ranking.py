@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rillmark.session import materialize
+
 
 def row_number_in_groups(df: DataFrame, keys: list[str], order: Column, rank: str, salt_bits: int = 6) -> DataFrame:
     """Number the rows of each group from 1 by a BIGINT hash ``order``, without one task per group.
@@ -24,3 +26,17 @@ def row_number_in_groups(df: DataFrame, keys: list[str], order: Column, rank: st
         same = same & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
     numbered = sliced.withColumn("__in", F.row_number().over(inside))
     return numbered.join(shift, same).withColumn(rank, (F.col("__in") + F.col("__shift")).cast("long")).select(*df.columns, rank)
+
+
+def running_sum(df: DataFrame, order: list[str], value: Column, out: str) -> DataFrame:
+    """Running sum of ``value`` in the total order of the columns ``order``, over the whole table.
+
+    The table is cut into ranges; each range is summed in its own task and shifted by the sums of those
+    before it. ``order`` should be unique, as equal rows are summed in an order that Spark chooses.
+    """
+    ranged = materialize(df.withColumn("__v", value).repartitionByRange(*order).withColumn("__range", F.spark_partition_id()))
+    sums = ranged.groupBy("__range").agg(F.sum("__v").alias("__s"))
+    before = Window.partitionBy(F.lit(0)).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    shift = sums.select("__range", F.coalesce(F.sum("__s").over(before), F.lit(0)).alias("__shift"))
+    inside = F.sum("__v").over(Window.partitionBy("__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return ranged.withColumn("__in", inside).join(shift, "__range").withColumn(out, F.col("__in") + F.col("__shift")).select(*df.columns, out)

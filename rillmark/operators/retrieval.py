@@ -67,19 +67,21 @@ class Bm25Index:
         return top_k(summed.join(distinct, "doc").select(query, "doc", (F.col("s") / F.sqrt("kinds")).alias("score")), query, "doc", "score", k)
 
 
-def nearest_vectors(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int = 10, metric: str = "cosine", block: int = 1024) -> DataFrame:
+def nearest_vectors(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int = 10, metric: str = "cosine", block: int = 1024, owner: str | None = None) -> DataFrame:
     """Exact top ``k`` of every query vector against all rows: ``query``, ``item``, ``score``, ``rank``; a row is no hit of itself.
 
     Queries are few against the rows: they go to the tasks in blocks of ``block`` and each batch of rows
     is multiplied with a block at once; a batch passes on its ``k`` best per query, which are ranked after
-    one small shuffle. ``l2`` scores 1 / (1 + squared distance). Null vectors take no part.
+    one small shuffle. ``l2`` scores 1 / (1 + squared distance). Null vectors take no part. With ``owner``
+    (an integer column) the result has instead the best row of every owner for each query: ``query``,
+    ``owner``, ``item``, ``score``; of equal rows the smallest id.
     """
     import numpy as np
     import pandas as pd
 
     q = queries.where(F.col(vector).isNotNull()).select(F.col(key).alias("q"), F.col(vector).cast("array<double>").alias("v"))
     many = -(-q.count() // block)
-    rows = vectors.where(F.col(vector).isNotNull()).select(F.col(key).alias("i"), F.col(vector).cast("array<double>").alias("v"))
+    rows = vectors.where(F.col(vector).isNotNull()).select(F.col(key).alias("i"), F.col(vector).cast("array<double>").alias("v"), (F.col(owner) if owner else F.lit(0)).cast("long").alias("o"))
     kind = rows.schema["i"].dataType.simpleString()
 
     def run_block(held, batches):
@@ -94,6 +96,16 @@ def nearest_vectors(vectors: DataFrame, queries: DataFrame, key: str, vector: st
             else:
                 s = 1 / (1 + np.maximum((m**2).sum(1)[:, None] + (x**2).sum(1)[None, :] - 2 * m @ x.T, 0))
             s = np.where(np.asarray(qs)[:, None] == ids[None, :], -np.inf, np.round(s, 6))
+            if owner:
+                groups = b["o"].to_numpy()
+                for g in np.unique(groups):
+                    own = np.flatnonzero(groups == g)
+                    own = own[np.argsort(ids[own], kind="stable")]
+                    best = own[s[:, own].argmax(1)]
+                    score = s[np.arange(len(qs)), best]
+                    keep = np.isfinite(score)
+                    yield pd.DataFrame({"query": np.asarray(qs)[keep], "owner": g, "item": ids[best][keep], "score": score[keep]})
+                continue
             take = min(k, len(ids))
             order = np.lexsort((np.broadcast_to(ids, s.shape), -s), axis=1)[:, :take]
             score = np.take_along_axis(s, order, 1)
@@ -111,8 +123,10 @@ def nearest_vectors(vectors: DataFrame, queries: DataFrame, key: str, vector: st
         def run(batches, shared=shared):
             return run_block(shared.value, batches) if shared.value[0] else iter(())
 
-        part = rows.mapInPandas(run, f"query {kind}, item {kind}, score double")
+        part = rows.mapInPandas(run, f"query {kind}, {'owner long, ' if owner else ''}item {kind}, score double")
         near = part if near is None else near.union(part)
+    if owner:
+        return collapse_windows(near, "query", "owner", "item", "score")
     order = Window.partitionBy("query").orderBy(F.desc("score"), "item")
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
