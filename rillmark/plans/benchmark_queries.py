@@ -6,14 +6,33 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from rillmark.functions import text as X
+from rillmark.functions.ranking import row_number_in_groups
 from rillmark.operators.metrics import violations
 from rillmark.plans.catalogue import REGISTRY
 from rillmark.plans.metric_queries import ranked
 from rillmark.plans.sql_parts import RANKED
+from rillmark.plans.text_queries import category_sql
 from rillmark.session import table
 
 add = REGISTRY.add
 
+#: One row per benchmark question: id, text, rule category.
+QUESTIONS = "qs AS (SELECT query_id, min(query_text) AS question, " + category_sql("min(query_text)") + " AS category FROM retrieval_runs WHERE query_text IS NOT NULL GROUP BY query_id)"
+
+
+def questions(spark, d):
+    q = table(spark, d, "retrieval_runs").where("query_text is not null").groupBy("query_id").agg(F.min("query_text").alias("question"))
+    return q.withColumn("category", X.category(F.col("question")))
+
+
+def salted(salt: str, key: str):
+    """The first 60 bits of the sha256 of salt and key: a reproducible order."""
+    return F.conv(F.substring(F.sha2(F.concat(F.lit(salt + ":"), F.col(key)), 256), 1, 15), 16, 10).cast("long")
+
+
+def salted_sql(salt: str, key: str) -> str:
+    return f"('0x' || substr(sha256('{salt}:' || {key}), 1, 15))::BIGINT"
+
 
 @add("j01_template_questions", r"""
 WITH t AS (SELECT DISTINCT trim(regexp_replace(lower(title), '[^\p{L}\p{N}]+', ' ', 'g')) AS scheme, trim(regexp_replace(lower(ministry), '[^\p{L}\p{N}]+', ' ', 'g')) AS ministry FROM extracted_documents WHERE title IS NOT NULL AND ministry IS NOT NULL),
@@ -44,101 +63,107 @@ def j02(spark, d):
 _RELATION = (("funding", r"\b(grant|fund|outlay|rs|rupees|owe)"), ("eligibility", r"\b(qualif|eligib|only|listed)"), ("procedure", r"\b(register|apply|file|returns|hears)"))
 
 
-@add("j03_relation_type", "SELECT item_id, CASE " + " ".join(f"WHEN regexp_matches(lower(reference_answer), '{p}') THEN '{n}'" for n, p in _RELATION) + " ELSE 'other' END AS relation FROM qa_items")
+@add("j03_relation_type", f"WITH {QUESTIONS} SELECT query_id, CASE " + " ".join(f"WHEN regexp_matches(lower(question), '{p}') THEN '{n}'" for n, p in _RELATION) + " ELSE 'other' END AS relation FROM qs")
 def j03(spark, d):
     out = F.lit("other")
     for name, pattern in _RELATION[::-1]:
-        out = F.when(F.lower("reference_answer").rlike(pattern), name).otherwise(out)
-    return table(spark, d, "qa_items").select("item_id", out.alias("relation"))
+        out = F.when(F.lower("question").rlike(pattern), name).otherwise(out)
+    return questions(spark, d).select("query_id", out.alias("relation"))
+
+
+_EVIDENCE = """ev AS (SELECT q.query_id, q.chunk_id, max(q.relevance) AS grade, min(c.text) AS text, min(lower(trim(c.document_id))) AS doc FROM qrels q JOIN chunks_v2 c USING (chunk_id) WHERE q.relevance > 0 AND c.text IS NOT NULL GROUP BY ALL)"""
 
 
-@add("j04_answer_support", """
-WITH q AS (SELECT item_id, reference_answer, array_to_string(supporting_evidence_quotes, ' ') AS evidence FROM qa_items),
-t AS (SELECT item_id, list_distinct(regexp_extract_all(lower(reference_answer), '[a-z0-9]+')) AS a, list_distinct(regexp_extract_all(lower(evidence), '[a-z0-9]+')) AS e, contains(lower(evidence), lower(reference_answer)) AS verbatim FROM q)
-SELECT item_id, verbatim, round(len(list_intersect(a, e)) * 1.0 / greatest(len(a), 1), 6) AS coverage, verbatim OR len(list_intersect(a, e)) * 1.0 / greatest(len(a), 1) >= 0.85 AS supported FROM t""")
+def _evidence(spark, d):
+    q = table(spark, d, "qrels").where("relevance > 0").groupBy("query_id", "chunk_id").agg(F.max("relevance").alias("grade"))
+    c = table(spark, d, "chunks_v2").where("text is not null").groupBy("chunk_id").agg(F.min("text").alias("text"), F.min(F.lower(F.trim("document_id"))).alias("doc"))
+    return q.join(c, "chunk_id")
+
+
+@add("j04_answer_support", f"""
+WITH {QUESTIONS}, {_EVIDENCE}, t AS (SELECT query_id, chunk_id, list_distinct(regexp_extract_all(lower(question), '[a-z0-9]+')) AS a, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS e, contains(lower(text), lower(question)) AS verbatim FROM ev JOIN qs USING (query_id))
+SELECT query_id, chunk_id, verbatim, round(len(list_intersect(a, e)) * 1.0 / greatest(len(a), 1), 6) AS coverage, verbatim OR len(list_intersect(a, e)) * 1.0 / greatest(len(a), 1) >= 0.85 AS supported FROM t""")
 def j04(spark, d):
-    evidence = F.array_join("supporting_evidence_quotes", " ")
-    t = table(spark, d, "qa_items").select("item_id", F.array_distinct(X.ascii_tokens(F.col("reference_answer"))).alias("a"), F.array_distinct(X.ascii_tokens(evidence)).alias("e"), F.contains(F.lower(evidence), F.lower("reference_answer")).alias("verbatim"))
+    both = _evidence(spark, d).join(questions(spark, d), "query_id")
+    t = both.select("query_id", "chunk_id", F.array_distinct(X.ascii_tokens(F.col("question"))).alias("a"), F.array_distinct(X.ascii_tokens(F.col("text"))).alias("e"), F.contains(F.lower("text"), F.lower("question")).alias("verbatim"))
     share = F.size(F.array_intersect("a", "e")) / F.greatest(F.size("a"), F.lit(1))
-    return t.select("item_id", "verbatim", F.round(share, 6).alias("coverage"), (F.col("verbatim") | (share >= 0.85)).alias("supported"))
-
+    return t.select("query_id", "chunk_id", "verbatim", F.round(share, 6).alias("coverage"), (F.col("verbatim") | (share >= 0.85)).alias("supported"))
 
 
-@add("j05_stratified_split", """
-SELECT item_id, category, CASE WHEN row_number() OVER (PARTITION BY category ORDER BY sha256('split:' || item_id), item_id) <= ceil(0.6 * count(*) OVER (PARTITION BY category)) THEN 'dev' ELSE 'test' END AS split,
- CAST((row_number() OVER (PARTITION BY category ORDER BY sha256('split:' || item_id), item_id) - 1) % 5 AS INT) AS fold FROM qa_items""")
+@add("j05_stratified_split", f"""
+WITH {QUESTIONS}, n AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY {salted_sql('split', 'query_id')}) AS r, count(*) OVER (PARTITION BY category) AS n FROM qs)
+SELECT query_id, category, CASE WHEN r <= ceil(0.6 * n) THEN 'dev' ELSE 'test' END AS split, CAST((r - 1) % 5 AS INT) AS fold FROM n""")
 def j05(spark, d):
-    w = Window.partitionBy("category")
-    place = F.row_number().over(w.orderBy(F.sha2(F.concat(F.lit("split:"), F.col("item_id").cast("string")), 256), "item_id"))
-    items = table(spark, d, "qa_items").select("item_id", "category", place.alias("r"), F.count(F.lit(1)).over(w).alias("n"))
-    return items.select("item_id", "category", F.when(F.col("r") <= F.ceil(F.lit(0.6) * F.col("n")), "dev").otherwise("test").alias("split"), ((F.col("r") - 1) % 5).cast("int").alias("fold"))
-
-
-@add("j06_question_contract", r"""
-SELECT 'short_question' AS rule, CAST(item_id AS VARCHAR) AS key FROM qa_items WHERE len(regexp_split_to_array(trim(question), '\s+')) < 6
-UNION ALL SELECT 'answer_leak', CAST(item_id AS VARCHAR) FROM qa_items WHERE contains(lower(question), lower(reference_answer))
-UNION ALL SELECT 'no_evidence', CAST(item_id AS VARCHAR) FROM qa_items WHERE supporting_evidence_quotes IS NULL OR len(supporting_evidence_quotes) = 0
-UNION ALL SELECT 'repeated_question', array_to_string(regexp_extract_all(lower(question), '[a-z0-9]+'), ' ') FROM qa_items GROUP BY 2 HAVING count(*) > 1
-UNION ALL SELECT 'reused_quote', q FROM (SELECT unnest(supporting_evidence_quotes) AS q FROM qa_items) GROUP BY q HAVING count(*) > 2""")
+    q = questions(spark, d).select("query_id", "category")
+    placed = row_number_in_groups(q, ["category"], salted("split", "query_id"), "r", salt_bits=10)
+    sized = placed.join(q.groupBy("category").agg(F.count(F.lit(1)).alias("n")), "category")
+    return sized.select("query_id", "category", F.when(F.col("r") <= F.ceil(F.lit(0.6) * F.col("n")), "dev").otherwise("test").alias("split"), ((F.col("r") - 1) % 5).cast("int").alias("fold"))
+
+
+@add("j06_question_contract", rf"""
+WITH {QUESTIONS}
+SELECT 'short_question' AS rule, query_id AS key FROM qs WHERE len(regexp_split_to_array(trim(question), '\s+')) < 6
+UNION ALL SELECT 'unknown_category', query_id FROM qs WHERE category = 'unknown'
+UNION ALL SELECT 'no_judgment', query_id FROM qs WHERE query_id NOT IN (SELECT query_id FROM qrels)
+UNION ALL SELECT 'repeated_question', array_to_string(regexp_extract_all(lower(question), '[a-z0-9]+'), ' ') FROM qs GROUP BY 2 HAVING count(*) > 1
+UNION ALL SELECT 'reused_evidence', chunk_id FROM (SELECT DISTINCT query_id, chunk_id FROM qrels WHERE relevance > 0) GROUP BY chunk_id HAVING count(*) > 2""")
 def j06(spark, d):
-    items = table(spark, d, "qa_items")
+    q, judged = questions(spark, d), table(spark, d, "qrels")
     return violations(
         {
-            "short_question": items.where(F.size(F.split(F.trim("question"), r"\s+")) < 6).select("item_id"),
-            "answer_leak": items.where(F.contains(F.lower("question"), F.lower("reference_answer"))).select("item_id"),
-            "no_evidence": items.where("supporting_evidence_quotes is null or size(supporting_evidence_quotes) = 0").select("item_id"),
-            "repeated_question": items.groupBy(X.ascii_norm(F.col("question")).alias("k")).count().where("count > 1"),
-            "reused_quote": items.select(F.explode("supporting_evidence_quotes").alias("q")).groupBy("q").count().where("count > 2"),
+            "short_question": q.where(F.size(F.split(F.trim("question"), r"\s+")) < 6).select("query_id"),
+            "unknown_category": q.where("category = 'unknown'").select("query_id"),
+            "no_judgment": q.join(judged, "query_id", "left_anti").select("query_id"),
+            "repeated_question": q.groupBy(X.ascii_norm(F.col("question")).alias("k")).count().where("count > 1"),
+            "reused_evidence": judged.where("relevance > 0").select("query_id", "chunk_id").distinct().groupBy("chunk_id").count().where("count > 2"),
         }
     )
 
 
-@add("j07_verbatim_quotes", """
-WITH e AS (SELECT item_id, trim(unnest(supporting_evidence_quotes)) AS quote FROM qa_items) SELECT item_id, count(*) AS quotes, CAST(sum(length(quote)) AS BIGINT) AS chars, CAST(sum(len(regexp_extract_all(lower(quote), '[a-z0-9]+'))) AS BIGINT) AS words FROM e GROUP BY item_id""")
+@add("j07_grade_two_evidence", f"""
+WITH {_EVIDENCE}, d2 AS (SELECT DISTINCT query_id, chunk_id FROM qrels WHERE relevance = 2)
+SELECT d2.query_id, d2.chunk_id, CASE WHEN ev.chunk_id IS NULL THEN 'unresolved' WHEN ev.grade <> 2 THEN 'conflicting' ELSE 'resolved' END AS state FROM d2 LEFT JOIN ev USING (query_id, chunk_id)""")
 def j07(spark, d):
-    e = table(spark, d, "qa_items").select("item_id", F.trim(F.explode("supporting_evidence_quotes")).alias("quote"))
-    return e.groupBy("item_id").agg(F.count(F.lit(1)).alias("quotes"), F.sum(F.length("quote")).alias("chars"), F.sum(F.size(X.ascii_tokens(F.col("quote")))).alias("words"))
+    direct = table(spark, d, "qrels").where("relevance = 2").select("query_id", "chunk_id").distinct()
+    found = direct.join(_evidence(spark, d), ["query_id", "chunk_id"], "left")
+    return found.select("query_id", "chunk_id", F.when(F.col("grade").isNull(), "unresolved").when(F.col("grade") != 2, "conflicting").otherwise("resolved").alias("state"))
 
 
-@add("j08_graph_path", r"""
-WITH c AS (SELECT item_id, len(supporting_evidence_quotes) AS quotes, list_distinct(regexp_extract_all(question, '[A-Z][a-z]+')) AS names, supporting_evidence_quotes AS q FROM qa_items WHERE category = 'multi_hop')
-SELECT item_id, CAST(quotes AS INT) AS quotes, len(list_filter(names, lambda n: len(list_filter(q, lambda x: contains(x, n))) = quotes)) > 0 AS bridge_in_every_quote FROM c""")
+@add("j08_graph_path", f"""
+WITH {_EVIDENCE} SELECT query_id, count(*) AS gold, count(DISTINCT doc) AS documents, count(*) >= 2 AND count(DISTINCT doc) >= 2 AS two_documents FROM ev GROUP BY query_id""")
 def j08(spark, d):
-    c = table(spark, d, "qa_items").where("category = 'multi_hop'").withColumn("names", F.array_distinct(F.regexp_extract_all("question", F.lit("[A-Z][a-z]+"), F.lit(0))))
-    q = F.col("supporting_evidence_quotes")
-    return c.select("item_id", F.size(q).alias("quotes"), F.exists("names", lambda n: F.forall(q, lambda x: F.contains(x, n))).alias("bridge_in_every_quote"))
+    n, docs = F.count(F.lit(1)), F.countDistinct("doc")
+    return _evidence(spark, d).groupBy("query_id").agg(n.alias("gold"), docs.alias("documents"), ((n >= 2) & (docs >= 2)).alias("two_documents"))
 
 
-@add("j09_synthesis_pairs", """
-WITH h AS (SELECT item_id, category, row_number() OVER (ORDER BY sha256('pair:' || item_id), item_id) - 1 AS r FROM qa_items)
-SELECT a.item_id AS item_a, b.item_id AS item_b FROM h a JOIN h b ON a.r % 2 = 0 AND b.r = a.r + 1 AND a.category <> b.category""")
+@add("j09_synthesis_pairs", f"""
+WITH {QUESTIONS}, h AS (SELECT query_id, category, row_number() OVER (ORDER BY {salted_sql('pair', 'query_id')}) - 1 AS r FROM qs)
+SELECT a.query_id AS query_a, b.query_id AS query_b FROM h a JOIN h b ON a.r % 2 = 0 AND b.r = a.r + 1 AND a.category <> b.category""")
 def j09(spark, d):
-    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.sha2(F.concat(F.lit("pair:"), F.col("item_id").cast("string")), 256), "item_id")) - 1
-    h = table(spark, d, "qa_items").select("item_id", "category", place.alias("r"))
-    a = h.where("r % 2 = 0").select(F.col("item_id").alias("item_a"), F.col("category").alias("ca"), (F.col("r") + 1).alias("r"))
-    return a.join(h.select("r", F.col("item_id").alias("item_b"), F.col("category").alias("cb")), "r").where("ca <> cb").select("item_a", "item_b")
+    h = row_number_in_groups(questions(spark, d).select("query_id", "category"), [], salted("pair", "query_id"), "r", salt_bits=10).withColumn("r", F.col("r") - 1)
+    a = h.where("r % 2 = 0").select(F.col("query_id").alias("query_a"), F.col("category").alias("ca"), (F.col("r") + 1).alias("r"))
+    return a.join(h.select("r", F.col("query_id").alias("query_b"), F.col("category").alias("cb")), "r").where("ca <> cb").select("query_a", "query_b")
 
 
-@add("j10_audit_sheet", """
-SELECT item_id, split_name FROM qa_items QUALIFY row_number() OVER (PARTITION BY split_name ORDER BY sha256('audit:' || item_id), item_id) <= ceil(0.1 * count(*) OVER (PARTITION BY split_name))""")
+@add("j10_audit_sheet", f"""
+WITH {QUESTIONS} SELECT query_id, category FROM qs QUALIFY row_number() OVER (PARTITION BY category ORDER BY {salted_sql('audit', 'query_id')}) <= ceil(0.1 * count(*) OVER (PARTITION BY category))""")
 def j10(spark, d):
-    w = Window.partitionBy("split_name")
-    place = F.row_number().over(w.orderBy(F.sha2(F.concat(F.lit("audit:"), F.col("item_id").cast("string")), 256), "item_id"))
-    items = table(spark, d, "qa_items").select("item_id", "split_name", place.alias("r"), F.count(F.lit(1)).over(w).alias("n"))
-    return items.where(F.col("r") <= F.ceil(F.lit(0.1) * F.col("n"))).select("item_id", "split_name")
+    q = questions(spark, d).select("query_id", "category")
+    placed = row_number_in_groups(q, ["category"], salted("audit", "query_id"), "r", salt_bits=10)
+    sized = placed.join(q.groupBy("category").agg(F.count(F.lit(1)).alias("n")), "category")
+    return sized.where(F.col("r") <= F.ceil(F.lit(0.1) * F.col("n"))).select("query_id", "category")
 
 
-@add("j11_regeneration_gate", """
-SELECT category, split_name, count(*) AS items, count(DISTINCT question_id) AS questions, count(*) >= 5 AS enough FROM qa_items GROUP BY ALL""")
+@add("j11_regeneration_gate", f"WITH {QUESTIONS} SELECT category, count(*) AS questions, count(DISTINCT question) AS distinct_questions, count(*) >= 20 AS enough FROM qs GROUP BY category")
 def j11(spark, d):
-    g = table(spark, d, "qa_items").groupBy("category", "split_name")
-    return g.agg(F.count(F.lit(1)).alias("items"), F.countDistinct("question_id").alias("questions"), (F.count(F.lit(1)) >= 5).alias("enough"))
+    g = questions(spark, d).groupBy("category")
+    return g.agg(F.count(F.lit(1)).alias("questions"), F.countDistinct("question").alias("distinct_questions"), (F.count(F.lit(1)) >= 20).alias("enough"))
 
 
-@add("j12_stratified_sample", "SELECT category, item_id FROM qa_items QUALIFY row_number() OVER (PARTITION BY category ORDER BY md5('42' || item_id), item_id) <= 5")
+@add("j12_stratified_sample", f"WITH {QUESTIONS} SELECT category, query_id FROM qs QUALIFY row_number() OVER (PARTITION BY category ORDER BY md5('42' || query_id), query_id) <= 5")
 def j12(spark, d):
-    place = F.row_number().over(Window.partitionBy("category").orderBy(F.md5(F.concat(F.lit("42"), F.col("item_id").cast("string"))), "item_id"))
-    return table(spark, d, "qa_items").withColumn("r", place).where("r <= 5").select("category", "item_id")
+    place = F.row_number().over(Window.partitionBy("category").orderBy(F.md5(F.concat(F.lit("42"), "query_id")), "query_id"))
+    return questions(spark, d).withColumn("r", place).where("r <= 5").select("category", "query_id")
 
 
 @add("j13_gold_resolution", """
@@ -157,10 +182,13 @@ def j14(spark, d):
     return best.select("retriever", "b.query_id")
 
 
-@add("j15_publication_gate", "SELECT benchmark_version, count(*) AS items, CAST(sum(CASE WHEN review_status = 'reviewed' AND len(supporting_evidence_quotes) > 0 THEN 1 ELSE 0 END) AS BIGINT) AS publishable FROM qa_items GROUP BY benchmark_version")
+@add("j15_publication_gate", """
+WITH j AS (SELECT query_id, count(DISTINCT chunk_id) AS judged, count(DISTINCT CASE WHEN relevance > 0 THEN chunk_id END) AS gold FROM qrels GROUP BY query_id)
+SELECT CASE WHEN gold = 0 THEN 'no_gold' WHEN judged < 2 THEN 'too_few_judgments' ELSE 'publishable' END AS gate, count(*) AS queries FROM j GROUP BY 1""")
 def j15(spark, d):
-    good = (F.col("review_status") == "reviewed") & (F.size("supporting_evidence_quotes") > 0)
-    return table(spark, d, "qa_items").groupBy("benchmark_version").agg(F.count(F.lit(1)).alias("items"), F.sum(good.cast("long")).alias("publishable"))
+    j = table(spark, d, "qrels").groupBy("query_id").agg(F.countDistinct("chunk_id").alias("judged"), F.countDistinct(F.when(F.col("relevance") > 0, F.col("chunk_id"))).alias("gold"))
+    gate = F.when(F.col("gold") == 0, "no_gold").when(F.col("judged") < 2, "too_few_judgments").otherwise("publishable")
+    return j.groupBy(gate.alias("gate")).agg(F.count(F.lit(1)).alias("queries"))
 
 
 @add("k01_field_rules", r"""
@@ -282,10 +310,10 @@ def k11(spark, d):
     return table(spark, d, "chunks_v2").groupBy("chunk_id").agg(F.countDistinct("text_sha256").alias("hashes")).where("hashes > 1")
 
 
-@add("k13_blinding", "SELECT item_id, 'P8G' || lpad(CAST(row_number() OVER (ORDER BY sha256('blind:' || item_id), item_id) AS VARCHAR), 3, '0') AS display_id FROM qa_items")
+@add("k13_blinding", f"WITH {QUESTIONS} SELECT query_id, 'P8G' || lpad(CAST(row_number() OVER (ORDER BY {salted_sql('blind', 'query_id')}) AS VARCHAR), 9, '0') AS display_id FROM qs")
 def k13(spark, d):
-    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.sha2(F.concat(F.lit("blind:"), F.col("item_id").cast("string")), 256), "item_id"))
-    return table(spark, d, "qa_items").select("item_id", F.concat(F.lit("P8G"), F.lpad(place.cast("string"), 3, "0")).alias("display_id"))
+    placed = row_number_in_groups(questions(spark, d).select("query_id"), [], salted("blind", "query_id"), "r", salt_bits=10)
+    return placed.select("query_id", F.concat(F.lit("P8G"), F.lpad(F.col("r").cast("string"), 9, "0")).alias("display_id"))
 
 
 @add("k16_review_completeness", """

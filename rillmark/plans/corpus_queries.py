@@ -219,13 +219,13 @@ def e09(spark, d):
 
 
 @add("e10_release_audit", r"""
-SELECT item_id, CAST(len(list_filter(supporting_evidence_quotes, lambda q: contains(reference_answer, q))) AS INT) AS verbatim_quotes, regexp_matches(question || ' ' || reference_answer, '\b(?:19|20)\d{2}\b') AS time_sensitive,
- CASE WHEN len(regexp_split_to_array(trim(reference_answer), '\s+')) < 5 THEN 'short' WHEN len(regexp_split_to_array(trim(reference_answer), '\s+')) > 60 THEN 'long' ELSE 'usual' END AS answer_length FROM qa_items""")
+SELECT ext_row, contains(text, title) AS title_in_text, regexp_matches(text, '\b(?:19|20)\d{2}\b') AS time_sensitive,
+ CASE WHEN len(regexp_split_to_array(trim(text), '\s+')) < 200 THEN 'short' WHEN len(regexp_split_to_array(trim(text), '\s+')) > 600 THEN 'long' ELSE 'usual' END AS text_length FROM extracted_documents WHERE text IS NOT NULL""")
 def e10(spark, d):
-    n = F.size(F.split(F.trim("reference_answer"), r"\s+"))
-    return table(spark, d, "qa_items").select(
-        "item_id",
-        F.size(F.filter("supporting_evidence_quotes", lambda q: F.contains(F.col("reference_answer"), q))).alias("verbatim_quotes"),
-        F.concat_ws(" ", "question", "reference_answer").rlike(r"\b(?:19|20)\d{2}\b").alias("time_sensitive"),
-        F.when(n < 5, "short").when(n > 60, "long").otherwise("usual").alias("answer_length"),
+    n = F.size(F.split(F.trim("text"), r"\s+"))
+    return table(spark, d, "extracted_documents").where("text is not null").select(
+        "ext_row",
+        F.contains(F.col("text"), F.col("title")).alias("title_in_text"),
+        F.col("text").rlike(r"\b(?:19|20)\d{2}\b").alias("time_sensitive"),
+        F.when(n < 200, "short").when(n > 600, "long").otherwise("usual").alias("text_length"),
     )

@@ -127,10 +127,10 @@ def g15(spark, d):
 
 
 @add("g16_qrels_from_gold", """
-SELECT item_id, quote_no, quote, 1 AS relevance FROM (SELECT item_id, unnest(supporting_evidence_quotes) AS quote, generate_subscripts(supporting_evidence_quotes, 1) AS quote_no FROM qa_items)""")
+WITH g AS (SELECT query_id, list(DISTINCT chunk_id) AS gold FROM qrels WHERE relevance > 0 GROUP BY query_id) SELECT query_id, '0' AS iteration_tag, unnest(gold) AS chunk_id, 1 AS relevance FROM g""")
 def g16(spark, d):
-    items = table(spark, d, "qa_items").select("item_id", F.posexplode("supporting_evidence_quotes").alias("pos", "quote"))
-    return items.select("item_id", (F.col("pos") + 1).cast("long").alias("quote_no"), "quote", F.lit(1).alias("relevance"))
+    gold = table(spark, d, "qrels").where("relevance > 0").groupBy("query_id").agg(F.collect_set("chunk_id").alias("gold"))
+    return gold.select("query_id", F.lit("0").alias("iteration_tag"), F.explode("gold").alias("chunk_id"), F.lit(1).alias("relevance"))
 
 
 @add("g17_recall_ceiling", f"""

@@ -160,12 +160,12 @@ def c20(spark, d):
 
 
 @add("c21_usable_answer", r"""
-SELECT item_id, (NOT contains(reference_answer, '?') AND len(regexp_extract_all(reference_answer, '\b[a-z]{2,}\b')) >= 5
- AND NOT regexp_matches(lower(trim(reference_answer)), '\b(and|or|of|the|to|for|with|in)\.?$')) AS usable FROM qa_items""")
+SELECT doc_id, (NOT contains(text, '?') AND len(regexp_extract_all(text, '\b[a-z]{2,}\b')) >= 5
+ AND NOT regexp_matches(lower(trim(text)), '\b(and|or|of|the|to|for|with|in)\.?$')) AS usable FROM documents WHERE text IS NOT NULL""")
 def c21(spark, d):
-    a = F.col("reference_answer")
+    a = F.col("text")
     usable = ~a.contains("?") & (F.regexp_count(a, F.lit(r"\b[a-z]{2,}\b")) >= 5) & ~F.lower(F.trim(a)).rlike(r"\b(and|or|of|the|to|for|with|in)\.?$")
-    return table(spark, d, "qa_items").select("item_id", usable.alias("usable"))
+    return _docs(spark, d).select("doc_id", usable.alias("usable"))
 
 
 @add("c23_initials", r"""
