@@ -29,6 +29,13 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, removed when the driver's interpreter ends."""
+    path = f"{shared_folder(spark)}/rillmark/{name}-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` to a table in the shared folder and read it back.
 
@@ -36,9 +43,8 @@ def materialize(df: DataFrame) -> DataFrame:
     The tables are removed when the driver's interpreter ends.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/rillmark/{uuid.uuid4().hex}"
+    path = scratch(spark, "table")
     df.write.parquet(path)
-    _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
