@@ -21,6 +21,19 @@ def shingles(text: Column, size: int = 5) -> Column:
     return F.array_distinct(let(F.coalesce(ascii_tokens(text), none), runs))
 
 
+def shingle_hashes(text: Column, size: int = 5) -> Column:
+    """64-bit hashes of the distinct shingles of a text; the same sets as ``shingles`` without building their strings."""
+    none = F.array().cast("array<bigint>")
+
+    def runs(w: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(w) - size + 1, F.lit(1)))
+        many = F.when(F.size(w) >= size, F.transform(starts, lambda i: F.xxhash64(F.slice(w, i, F.lit(size)))))
+        return F.coalesce(many, F.when(F.size(w) > 0, F.array(F.xxhash64(w))), none)
+
+    tokens = F.coalesce(ascii_tokens(text), F.array().cast("array<string>"))
+    return F.array_distinct(let(F.transform(tokens, lambda t: F.xxhash64(t)), runs))
+
+
 def shingle_pairs(df: DataFrame, key: str, text: str, threshold: float, size: int = 5) -> DataFrame:
     """All pairs ``a`` < ``b`` of rows with a Jaccard similarity of shingles of at least ``threshold``; exact.
 
@@ -29,12 +42,14 @@ def shingle_pairs(df: DataFrame, key: str, text: str, threshold: float, size: in
     shared shingles are then counted on whole sets. Frequent shingles sort last and are hardly ever
     joined, so no bucket grows with the corpus. Null and empty texts have no pairs.
     """
-    sets = df.select(F.col(key).alias("k"), F.transform(shingles(F.col(text), size), lambda x: F.xxhash64(x)).alias("s")).where(F.size("s") > 0)
-    each = materialize(sets.select("k", F.size("s").alias("n"), F.explode("s").alias("h")))
-    common = each.groupBy("h").agg(F.count(F.lit(1)).alias("df"))
+    sets = materialize(df.select(F.col(key).alias("k"), shingle_hashes(F.col(text), size).alias("s"))).where(F.size("s") > 0)
+    each = sets.select("k", F.size("s").alias("n"), F.explode("s").alias("h"))
+    # shingles of one text only can join nothing; they sort first, so the others' places follow from counts
+    common = each.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     order = Window.partitionBy("k").orderBy("df", "h")
-    placed = each.join(common, "h").withColumn("place", F.row_number().over(order))
-    lead = materialize(placed.where((F.col("df") > 1) & (F.col("place") <= F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - 1e-9) + 1)).select("k", "n", "h"))
+    shared = each.join(common, "h").withColumn("nth", F.row_number().over(order)).withColumn("shared", F.count(F.lit(1)).over(Window.partitionBy("k")))
+    placed = shared.withColumn("place", F.col("n") - F.col("shared") + F.col("nth"))
+    lead = materialize(placed.where((F.col("place") <= F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - 1e-9) + 1)).select("k", "n", "h"))
     a = lead.select("h", F.col("k").alias("a"), F.col("n").alias("na"))
     b = lead.select("h", F.col("k").alias("b"), F.col("n").alias("nb"))
     alike = (F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(threshold) - 1e-9)

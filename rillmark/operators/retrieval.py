@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rillmark.functions.text import word_tokens
-from rillmark.session import materialize
+from rillmark.session import materialize, shuffle_partitions
 
 
 def top_k(scored: DataFrame, query: str, item: str, score: str, k: int) -> DataFrame:
@@ -16,6 +16,10 @@ def top_k(scored: DataFrame, query: str, item: str, score: str, k: int) -> DataF
     return rounded.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+#: Most (query, term) rows that are broadcast to the postings; more are joined by a shuffle.
+BROADCAST_ROWS = 500_000
+
+
 class Bm25Index:
     """Postings and statistics of a corpus, written once and joined by every query batch."""
 
@@ -49,7 +53,12 @@ class Bm25Index:
         terms = queries.where(F.col(text).isNotNull()).select(query, F.explode(word_tokens(F.col(text))).alias("term"))
         terms = terms.groupBy(query, "term").agg(F.count(F.lit(1)).alias("qtf"))
         weighted = terms.join(self.terms, "term").select(query, "term", (self.idf(idf) * F.col("qtf")).alias("w"))
-        hits = self.postings.join(weighted, "term")
+        weighted = materialize(weighted)
+        few = weighted.count() <= BROADCAST_ROWS
+        asked = weighted.select("term").distinct()
+        # partitioned by document before the join, so that a document's scores are summed where its postings lie
+        own = self.postings.join(F.broadcast(asked) if few else asked, "term", "left_semi").repartition(shuffle_partitions(asked), "doc")
+        hits = own.join(F.broadcast(weighted) if few else weighted, "term")
         if len(grid) > 1:
             hits = hits.select("*", F.explode(F.array(*[F.struct(F.lit(x).alias("k1"), F.lit(y).alias("b")) for x, y in grid])).alias("g")).select("*", "g.k1", "g.b")
         else:

@@ -60,6 +60,12 @@ def _remove() -> None:
 atexit.register(_remove)
 
 
+def shuffle_partitions(df: DataFrame) -> int:
+    """The session's shuffle partitions, for a repartition whose rows multiply afterwards: adaptive execution
+    would merge its small partitions and leave the work to one task."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def free_name(df: DataFrame, *stems: str) -> list[str]:
     """Column names that do not clash with those of ``df`` (Spark compares without case)."""
     taken = {c.lower() for c in df.columns}
