@@ -14,7 +14,7 @@ TYPES = ("email", "phone", "id_number", "address", "name")
 # Words that stand before or after personal data, or before and after what looks like it.
 BEFORE = {
     "email": ("mail", "e-mail", "email", "write to", "reply", "mail id", "contact", "tel", "|"),
-    "phone": ("tel", "mobile", "phone", "ph:", "call", "whatsapp", "reached on", "contact", " or ", "दूरभाष", "faithfully", "at "),
+    "phone": ("tel", "mobile", "phone", "ph:", "call", "whatsapp", "reached on", "contact", " or ", "दूरभाष", "संपर्क", "faithfully", "sincerely", "at "),
     "id_number": ("aadhaar", "aadhar", "uid", "pan", "epic", "voter", "passport", "licence", "license", "dl no", "card", "holds"),
     "address": ("lives at", "resident of", "order to", "come to", "address", "copy to", "residing", "send"),
     "name": ("mr", "mrs", "ms", "smt", "shri", "dr", "prof", "kumari", "name:", "nominee", "applicant", "father", "mother", "late", "officer", "person", "claimant", "minutes by", "copy to", "i,", "faithfully", "signed", "present"),
@@ -50,7 +50,8 @@ _PHONES = (
     re.compile(r"(?<![\w/.-])0\d{2,4}[\s-]\d{6,8}(?!\d)"),
     re.compile(rf"(?<![\w/.+-])\d{{5}}{_S}\d{{5}}(?!\d)"),
     re.compile(r"(?<![\w/.-])\d{10}(?!\d)"),
-    re.compile(r"(?<![\w/])[+(]?\d[\d()-]*(?:\s[\d()-]+){0,4}\d(?!\d)"),
+    re.compile(r"(?<![\w/.+-])\d{3}[\s.-]\d{3}[\s.-]\d{4}(?!\d)"),
+    re.compile(r"(?<![\w/])[+(]?\d[\d()-]*(?:[\s.][\d()-]+){0,4}\d(?!\d)"),
 )
 _IDS = (
     re.compile(rf"(?<![\w/+])\d{{4}}{_S}\d{{4}}{_S}\d{{4}}(?!\d)"),
@@ -188,11 +189,11 @@ def _address_spans(text: str, m: re.Match) -> Iterator[tuple[int, int]]:
             yield s, s + len(span)
 
 
-def _cue(text: str, start: int, kind: str) -> int:
-    """Distance rank of the nearest cue in the 24 characters before; 0 if there is none."""
-    before = text[max(0, start - 24) : start].lower()
+def _cue(text: str, start: int, kind: str, reach: int = 24) -> int:
+    """Nearness of the last cue in the ``reach`` characters before; 0 if there is none."""
+    before = text[max(0, start - reach) : start].lower()
     ends = [m.end() for m in _CUES[kind].finditer(before)]
-    return 25 - min(24, len(before) - ends[-1]) if ends else 0
+    return reach + 1 - (len(before) - ends[-1]) if ends else 0
 
 
 def features(text: str, found: list[tuple[int, int, int, int]], lexicon: Lexicon) -> np.ndarray:
@@ -209,7 +210,7 @@ def features(text: str, found: list[tuple[int, int, int, int]], lexicon: Lexicon
         near = before_low[-12:]
         out[i] = (
             g, e - s, digits, len(tokens), span.count(","), span.count("\n"), sum(c in " -./()" for c in span),
-            _cue(text, s, TYPES[kind]), any(w in before_low for w in AGAINST), any(w in near for w in AGAINST),
+            _cue(text, s, TYPES[kind], 48), any(w in before_low for w in AGAINST), any(w in near for w in AGAINST),
             any(w in after_low for w in SCHEME), any(w in low for w in SCHEME), any(w in low for w in PLACE), any(w in near for w in PLACE),
             after[:1] == "/", after[:1].isalnum(), rest[:1].isupper(), rest[:1].isdigit(), before[-1:].isalnum() or before[-1:] in "@/.+-", after[:1] in "-@_",
             first in lexicon.given, last in lexicon.family, first in lexicon.family, last in lexicon.given,
