@@ -74,7 +74,18 @@ def p3_shares(spark, sf_dir):
     return grouped_splits.split_shares(_splits(spark, sf_dir), _targets(spark, sf_dir))
 
 
-@add("p4_found")
+_CANON = r"""
+{k}0 AS (SELECT {key} AS key, text AS t, try_cast(text AS JSON) AS j FROM {table} WHERE regexp_matches(text, '[\p{{L}}\p{{N}}]')),
+{k}1 AS (SELECT key, t, CASE WHEN regexp_matches(t, '^\s*\{{') AND json_type(j) = 'OBJECT' THEN list_transform(json_keys(j), lambda x: x || json_extract_string(j, '$."' || x || '"')) END AS f,
+ list_filter(string_split(t, chr(10)), lambda s: regexp_matches(s, '\S')) AS l FROM {k}0),
+{k}2 AS (SELECT key, t, CASE WHEN f IS NOT NULL THEN f WHEN len(l) >= 2 AND len(list_filter(l, lambda s: NOT regexp_matches(s, '^\s*[A-Za-z][A-Za-z _]{{0,39}}:\s*\S'))) = 0 THEN l END AS f FROM {k}1),
+{k}3 AS (SELECT key, CASE WHEN f IS NOT NULL THEN chr(10) || array_to_string(list_sort(list_transform(f, lambda s: regexp_replace(lower(s), '[^\p{{L}}\p{{N}}]+', '', 'g'))), chr(10)) ELSE regexp_replace(lower(t), '[^\p{{L}}\p{{N}}]+', '', 'g') END AS c FROM {k}2),
+{k}4 AS (SELECT key, min(key) OVER (PARTITION BY c) AS first FROM {k}3)"""
+_CANONS = ",".join(_CANON.format(k=kind[0], key=key, table=name) for kind, name, key in RECORDS)
+
+
+@add("p4_found", f"""WITH {_CANONS}
+SELECT 'document' AS record_kind, first AS row_a, key AS row_b FROM d4 WHERE key <> first UNION ALL SELECT 'chunk', first, key FROM c4 WHERE key <> first""")
 def p4_found(spark, sf_dir):
     def one(kind, name, key):
         _, members = format_duplicates.collapse_formatting(table(spark, sf_dir, name), key, "text")
@@ -83,7 +94,8 @@ def p4_found(spark, sf_dir):
     return _every_kind(one).select("record_kind", "row_a", "row_b")
 
 
-@add("p4_collapsed")
+@add("p4_collapsed", f"""WITH {_CANONS}
+SELECT 'document' AS record_kind, first AS row_key, count(*) AS copies FROM d4 GROUP BY first UNION ALL SELECT 'chunk', first, count(*) FROM c4 GROUP BY first""")
 def p4_collapsed(spark, sf_dir):
     def one(kind, name, key):
         groups, _ = format_duplicates.collapse_formatting(table(spark, sf_dir, name), key, "text")

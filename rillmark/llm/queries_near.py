@@ -23,7 +23,17 @@ def _row(c: str):
     return F.shiftright(c, 1).alias(c)
 
 
-@add("p1_found")
+_SIDE = r"""
+{k}t AS (SELECT {key} AS k, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS w FROM {table} WHERE text IS NOT NULL),
+{k}s AS (SELECT k, list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) ELSE [array_to_string(w, ' ')] END) AS s FROM {k}t WHERE len(w) > 0),
+{k}e AS (SELECT k, len(s) AS n, unnest(s) AS g FROM {k}s),
+{k}p AS (SELECT a.k AS row_a, b.k AS row_b, a.n AS na, b.n AS nb, count(*) AS shared FROM {k}e a JOIN {k}e b ON a.g = b.g AND a.k < b.k GROUP BY ALL)"""
+_PAIRS = ",".join(_SIDE.format(k=kind[0], key=key, table=name) for kind, name, key in RECORDS)
+
+
+@add("p1_found", f"""WITH {_PAIRS}
+SELECT 'document' AS record_kind, row_a, row_b FROM dp WHERE 5 * shared >= 4 * (na + nb - shared)
+UNION ALL SELECT 'chunk', row_a, row_b FROM cp WHERE 5 * shared >= 4 * (na + nb - shared)""")
 def p1_found(spark, sf_dir):
     pairs = near_duplicates.similar_pairs(*_linked(spark, sf_dir))
     return pairs.select(_kind("row_a"), _row("row_a"), _row("row_b"))

@@ -15,7 +15,13 @@ def _passages(spark, sf_dir):
     return items.select("item_id", F.explode(texts).alias("passage"))
 
 
-@add("p6_found")
+@add("p6_found", r"""
+WITH i AS (SELECT item_id, unnest(list_concat([question, reference_answer], coalesce(supporting_evidence_quotes, []))) AS t FROM qa_items WHERE split_name = 'test'),
+iw AS (SELECT item_id, regexp_extract_all(lower(t), '[\p{L}\p{N}]+') AS w FROM i WHERE t IS NOT NULL),
+ig AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - 10), lambda j: array_to_string(w[j:j + 11], ' '))) AS g FROM iw WHERE len(w) >= 12),
+dw AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
+dg AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 10), lambda j: array_to_string(w[j:j + 11], ' '))) AS g FROM dw WHERE len(w) >= 12)
+SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)""")
 def p6_found(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return leakage.leaked_items(docs, "doc_id", "text", _passages(spark, sf_dir), "item_id", "passage")
