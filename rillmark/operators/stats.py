@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,6 +65,18 @@ def exact_signs(diffs: DataFrame, most: int = 20) -> DataFrame:
     return sums.join(seen, "k").agg(F.count(F.lit(1)).alias("vectors"), F.avg((F.col("t") >= F.col("observed") - 1e-12).cast("double")).alias("p"))
 
 
+def exact_win_loss(diffs: DataFrame) -> DataFrame:
+    """One-sided exact sign randomisation of wins and losses, ties left out: ``wins``, ``losses``, ``p``.
+
+    With equal magnitudes the share of all sign vectors that win at least as often is a binomial tail,
+    so any number of queries is exact; without wins or losses p is 1. Only two counts reach the driver.
+    """
+    row = diffs.agg(F.coalesce(F.sum((F.col("d") > 0).cast("long")), F.lit(0)).alias("wins"), F.coalesce(F.sum((F.col("d") < 0).cast("long")), F.lit(0)).alias("losses")).first()
+    wins, m = row["wins"], row["wins"] + row["losses"]
+    tail = math.fsum(math.exp(math.lgamma(m + 1) - math.lgamma(j + 1) - math.lgamma(m - j + 1) - m * math.log(2)) for j in range(wins, m + 1))
+    return diffs.sparkSession.createDataFrame([(wins, row["losses"], min(1.0, tail))], "wins long, losses long, p double")
+
+
 def holm(tests: DataFrame, name: str, p: str) -> DataFrame:
     """Holm-Bonferroni: ``adjusted`` = running maximum of (m - i) p in the order of p and name, at most 1."""
     whole = Window.partitionBy(F.lit(0))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from rillmark.functions import text as X
@@ -247,10 +246,11 @@ SELECT chunk_row, len(regexp_split_to_array(trim(text), '\s+')) < 40 AS is_short
  CAST(length(regexp_replace(text, '[^\p{L}]+', '', 'g')) AS DOUBLE) / greatest(length(text), 1) < 0.55 AS low_alpha,
  count(*) OVER (PARTITION BY left(norm, 240)) >= 3 AS repeated_prefix FROM n""")
 def c34(spark, d):
-    same = Window.partitionBy(F.left(F.col("norm"), F.lit(240)))
-    n = table(spark, d, "chunks_v2").where("text is not null").select("chunk_row", X.ascii_norm(F.col("text")).alias("norm"), "text")
-    alpha = F.length(F.regexp_replace(F.col("text"), r"[^\p{L}]+", "")) / F.greatest(F.length(F.col("text")), F.lit(1))
-    return n.select("chunk_row", (F.size(F.split(F.trim(F.col("text")), r"\s+")) < 40).alias("is_short"), (alpha < 0.55).alias("low_alpha"), (F.count(F.lit(1)).over(same) >= 3).alias("repeated_prefix"))
+    n = table(spark, d, "chunks_v2").where("text is not null").select("chunk_row", F.left(X.ascii_norm(F.col("text")), F.lit(240)).alias("prefix"), "text")
+    often = n.groupBy("prefix").agg(F.count(F.lit(1)).alias("rows"))  # counted before the join: a prefix may be very frequent
+    alpha = F.length(F.regexp_replace("text", r"[^\p{L}]+", "")) / F.greatest(F.length("text"), F.lit(1))
+    flags = n.select("chunk_row", "prefix", (F.size(F.split(F.trim("text"), r"\s+")) < 40).alias("is_short"), (alpha < 0.55).alias("low_alpha"))
+    return flags.join(often, "prefix").select("chunk_row", "is_short", "low_alpha", (F.col("rows") >= 3).alias("repeated_prefix"))
 
 
 @add("c35_headings", r"""

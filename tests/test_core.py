@@ -57,6 +57,8 @@ def test_holm_and_exact_signs(spark):
     d = stats.numbered(spark.createDataFrame([(f"q{i}", v) for i, v in enumerate([1.0, 1.0, 1.0, 0.0])], "q string, d double"), "q", "d")
     out = stats.exact_signs(d).first()
     assert out["vectors"] == 8 and out["p"] == pytest.approx(1 / 8)
+    assert tuple(stats.exact_win_loss(d).first()) == (3, 0, pytest.approx(1 / 8))
+    assert stats.exact_win_loss(d.limit(0)).first()["p"] == pytest.approx(1.0)
 
 
 def test_kappa(spark):
