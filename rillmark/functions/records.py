@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rillmark.session import with_package
+
 #: Keys whose values are no human text: a fixed list.
 SKIPPED_KEYS = ("_id", "id", "schemeId", "slug", "url", "type", "children")
 
@@ -48,12 +50,14 @@ def json_leaves(df: DataFrame, key: str, text: str) -> DataFrame:
             yield pd.DataFrame(out, columns=["k", "position", "path", "leaf"])
 
     kind = rows.schema["k"].dataType.simpleString()
-    return rows.mapInPandas(run, f"k {kind}, position int, path string, leaf string").withColumnRenamed("k", key)
+    return with_package(rows).mapInPandas(run, f"k {kind}, position int, path string, leaf string").withColumnRenamed("k", key)
 
 
 def edit_similarity(pairs: DataFrame, left: str, right: str, out: str) -> DataFrame:
     """Ratcliff-Obershelp ratio of two text columns; null if either is null."""
 
+    with_package(pairs)
+
     @F.pandas_udf("double")
     def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y, autojunk=False).ratio() for x, y in zip(a, b)])
@@ -93,4 +97,4 @@ def pack_sections(df: DataFrame, key: str, text: str, heading: str, size: int =
             yield pd.DataFrame(out, columns=["k", "chunk_index", "heading", "chunk_text"])
 
     kind = rows.schema["k"].dataType.simpleString()
-    return rows.mapInPandas(run, f"k {kind}, chunk_index int, heading string, chunk_text string").withColumnRenamed("k", key)
+    return with_package(rows).mapInPandas(run, f"k {kind}, chunk_index int, heading string, chunk_text string").withColumnRenamed("k", key)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rillmark.functions.text import word_tokens
-from rillmark.session import materialize, shuffle_partitions
+from rillmark.session import materialize, shuffle_partitions, with_package
 
 
 def top_k(scored: DataFrame, query: str, item: str, score: str, k: int) -> DataFrame:
@@ -132,7 +132,7 @@ def nearest_vectors(vectors: DataFrame, queries: DataFrame, key: str, vector: st
         def run(batches, shared=shared):
             return run_block(shared.value, batches) if shared.value[0] else iter(())
 
-        part = rows.mapInPandas(run, f"query {kind}, {'owner long, ' if owner else ''}item {kind}, score double")
+        part = with_package(rows).mapInPandas(run, f"query {kind}, {'owner long, ' if owner else ''}item {kind}, score double")
         near = part if near is None else near.union(part)
     if owner:
         return collapse_windows(near, "query", "owner", "item", "score")

@@ -12,8 +12,8 @@ h AS (SELECT r.run_id, r.query_id, r.retriever, r.rank, j.grade FROM ranked r LE
 c AS (SELECT run_id, query_id, retriever, coalesce(1.0 / min(CASE WHEN grade IS NOT NULL AND rank <= 5 THEN rank END), 0) AS mrr_at_5, coalesce(1.0 / min(CASE WHEN grade IS NOT NULL THEN rank END), 0) AS mrr_at_10,
  CAST(count(CASE WHEN rank <= 5 THEN grade END) AS DOUBLE) AS h5, CAST(count(grade) AS DOUBLE) AS h10,
  coalesce(sum(CASE WHEN grade IS NOT NULL THEN 1 / log2(rank + 1) END), 0) AS db, coalesce(sum(grade / log2(rank + 1)), 0) AS dg FROM h GROUP BY ALL),
-panel AS (SELECT run_id, query_id, retriever, gold, mrr_at_5, mrr_at_10, h5 / gold AS recall_at_5, h10 / gold AS recall_at_10, CAST(h5 > 0 AS INT) * 1.0 AS hit_rate_at_5, CAST(h10 > 0 AS INT) * 1.0 AS hit_rate_at_10,
- h5 / 5 AS precision_at_5, h10 / 10 AS precision_at_10, db / ib AS binary_ndcg_at_10, dg / ig AS graded_ndcg_at_10, CAST(h5 = gold AS INT) * 1.0 AS complete_evidence_recall_at_5, CAST(h10 = gold AS INT) * 1.0 AS complete_evidence_recall_at_10
+panel AS (SELECT run_id, query_id, retriever, gold, mrr_at_5, mrr_at_10, h5 / gold AS recall_at_5, h10 / gold AS recall_at_10, CAST(CAST(h5 > 0 AS INT) AS DOUBLE) AS hit_rate_at_5, CAST(CAST(h10 > 0 AS INT) AS DOUBLE) AS hit_rate_at_10,
+ h5 / 5 AS precision_at_5, h10 / 10 AS precision_at_10, db / ib AS binary_ndcg_at_10, dg / ig AS graded_ndcg_at_10, CAST(CAST(h5 = gold AS INT) AS DOUBLE) AS complete_evidence_recall_at_5, CAST(CAST(h10 = gold AS INT) AS DOUBLE) AS complete_evidence_recall_at_10
  FROM c JOIN ideal USING (query_id))"""
 
 METRIC_COLUMNS = (

@@ -6,6 +6,8 @@ import atexit
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,6 +31,24 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+_shipped: set[str] = set()
+
+
+def with_package(df: DataFrame) -> DataFrame:
+    """``df``, after this package has been sent to the executors once, so that Python in tasks can import it
+    wherever the driver was started."""
+    sc = df.sparkSession.sparkContext
+    if sc.applicationId not in _shipped:
+        root = Path(__file__).resolve().parent
+        packed = Path(tempfile.mkdtemp(prefix="spark-rillmark-")) / f"{root.name}.zip"
+        with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
+            for file in sorted(root.rglob("*.py")):
+                z.write(file, file.relative_to(root.parent))
+        sc.addPyFile(str(packed))
+        _shipped.add(sc.applicationId)
+    return df
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder, removed when the driver's interpreter ends."""
     path = f"{shared_folder(spark)}/rillmark/{name}-{uuid.uuid4().hex}"

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rillmark.functions.text import strip
+from rillmark.session import with_package
 
 #: Parts of a page that hold no text: a fixed list.
 HIDDEN_TAGS = ("script", "style", "nav", "footer", "header")
@@ -70,7 +71,7 @@ def read_files(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     text = F.when(F.col("source_type").isin("html", "htm"), html_text(decoded)).otherwise(decoded)
     plain = plain.select("source_path", "source_type", "byte_size", "sha256", text.alias("raw_text"), F.lit(None).cast("string").alias("reason"))
     word = base.where("source_type = 'docx'").select("source_path", "source_type", "byte_size", "sha256", "content")
-    word = word.mapInPandas(parse, "source_path string, source_type string, byte_size long, sha256 string, raw_text string, reason string")
+    word = with_package(word).mapInPandas(parse, "source_path string, source_type string, byte_size long, sha256 string, raw_text string, reason string")
     other = base.where(~F.col("source_type").isin("txt", "md", "html", "htm", "json", "jsonl", "docx")).select("source_path", "source_type", "byte_size", "sha256", F.lit(None).cast("string").alias("raw_text"), F.lit("unsupported").alias("reason"))
     everything = plain.unionByName(word).unionByName(other)
     documents = everything.where("reason is null").select(
