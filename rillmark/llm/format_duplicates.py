@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rillmark.session import free_name, materialize
+from rillmark.session import free_name, materialize, with_package
 
 #: A line of a serialised record: label, colon, value.
 FIELD_LINE = r"\A\p{IsWhite_Space}*[A-Za-z][A-Za-z _]{0,39}:(?s:.*)\P{IsWhite_Space}(?s:.*)\z"
@@ -77,7 +77,7 @@ def collapse_formatting(df: DataFrame, key_col: str, text_col: str) -> tuple[Dat
     is_json = F.col("text").rlike(r"\A\p{IsWhite_Space}*\{(?s:.*)\}\p{IsWhite_Space}*\z")
     plain = F.coalesce(canonical_lines(F.col("text")), bare(F.col("text")))
     raw = materialize(raw.select("raw_key", "copies", F.sha2("text", 256).alias("digest"), F.when(is_json, F.col("text")).alias("text"), F.when(~is_json, plain).alias("canonical_text")))
-    parsed = raw.where("text is not null").select("raw_key", "text").mapInPandas(_json_fields, "raw_key {}, fields array<string>".format(raw.schema["raw_key"].dataType.simpleString()))
+    parsed = with_package(raw).where("text is not null").select("raw_key", "text").mapInPandas(_json_fields, "raw_key {}, fields array<string>".format(raw.schema["raw_key"].dataType.simpleString()))
     json_text = F.when(F.col("fields").isNotNull(), record_text(F.transform("fields", bare)))
     objects = raw.where("text is not null").join(parsed, "raw_key").select("raw_key", "copies", "digest", F.coalesce(json_text, canonical_lines(F.col("text")), bare(F.col("text"))).alias("canonical_text"))
     canon = raw.where("text is null").select("raw_key", "copies", "digest", "canonical_text").unionByName(objects)

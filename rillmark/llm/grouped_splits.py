@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from rillmark.functions.ranking import row_number_in_groups
 from rillmark.operators.components import connected_components
-from rillmark.session import materialize
+from rillmark.session import materialize, with_package
 
 #: Most partial partitions that one task combines.
 TASK_TUPLES = 4096
@@ -61,7 +61,7 @@ def balanced_bins(components: DataFrame, key: str, weight: str, bins: int = 100)
     count = state.count()
     while count > 1:
         tasks = -(-count // TASK_TUPLES)
-        step = materialize(state.repartition(tasks, "__tid").mapInPandas(_difference, "__tid long, new_tid long, slots array<int>, sums array<long>"))
+        step = materialize(with_package(state).repartition(tasks, "__tid").mapInPandas(_difference, "__tid long, new_tid long, slots array<int>, sums array<long>"))
         place = materialize(
             place.join(step.where("slots is not null").select(F.col("__tid").alias("__now"), "new_tid", "slots"), "__now")
             .select("__tid", F.element_at("slots", F.col("__slot") + 1).alias("__slot"), F.col("new_tid").alias("__now"))

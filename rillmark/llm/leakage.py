@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rillmark.llm.words import WordHashes, grams
-from rillmark.session import materialize
+from rillmark.session import materialize, with_package
 
 #: Most test fingerprints that are broadcast; more are joined by a shuffle.
 BROADCAST_FINGERPRINTS = 1_000_000
@@ -68,7 +68,7 @@ def fingerprints(df: DataFrame, key_cols: list[str], text_col: str, span: int, g
             out = b[key_cols].iloc[at].reset_index(drop=True)
             yield out.assign(fingerprint=np.array(prints, dtype=np.int64), before=before, middle=middle, after=after)
 
-    return rows.mapInPandas(run, f"{keys}, fingerprint long, before array<long>, middle array<long>, after array<long>")
+    return with_package(rows).mapInPandas(run, f"{keys}, fingerprint long, before array<long>, middle array<long>, after array<long>")
 
 
 def _alike(a: Column, b: Column) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rillmark.functions.ranking import row_number_in_groups
-from rillmark.session import materialize
+from rillmark.session import materialize, with_package
 
 #: Where the public vocabulary files lie, unless a path is given.
 TOKENIZER = os.environ.get("RILLMARK_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.tiktoken")
@@ -48,7 +48,7 @@ def count_tokens(df: DataFrame, key_col: str, source_col: str, text_col: str, pa
             yield b.assign(tokens=np.array(tokens, dtype="int64"))
 
     key_type = rows.schema["doc_key"].dataType.simpleString()
-    return rows.mapInPandas(count, f"doc_key {key_type}, source string, tokens long")
+    return with_package(rows).mapInPandas(count, f"doc_key {key_type}, source string, tokens long")
 
 
 def fit_lengths(lengths: np.ndarray, counts: np.ndarray, budget: int, dp_limit: int = 1 << 16) -> np.ndarray:
@@ -135,7 +135,7 @@ def mix_sources(
         take = fit_lengths(pdf["tokens"].to_numpy(), pdf["docs"].to_numpy(), int(pdf["rest"].iloc[0]), dp_limit)
         return pdf.assign(take=take)[["source", "tokens", "passes", "take"]]
 
-    chosen = materialize(lengths.join(plan_df, "source").groupBy("source").applyInPandas(fit, "source string, tokens long, passes long, take long"))
+    chosen = materialize(with_package(lengths).join(plan_df, "source").groupBy("source").applyInPandas(fit, "source string, tokens long, passes long, take long"))
     drawn = row_number_in_groups(usable.select("doc_key", "source", "tokens"), ["source", "tokens"], F.xxhash64(F.lit(seed), F.col("doc_key")), "draw")
     mixture = (
         drawn.join(chosen, ["source", "tokens"])

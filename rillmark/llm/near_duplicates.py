@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from rillmark.llm.words import WordHashes, grams, mix, words
 from rillmark.operators.components import connected_components
-from rillmark.session import materialize
+from rillmark.session import materialize, with_package
 
 
 @dataclass(frozen=True)
@@ -82,7 +82,7 @@ def signatures(df: DataFrame, key_col: str, scope_col: str, text_col: str, p: Sk
             sketch = np.packbits(parity & 1, axis=1).view(np.int64)
             yield pd.DataFrame({"key": b["key"][keep].to_numpy(), "class": classes, "bands": list(band.view(np.int64)), "sketch": list(sketch)})
 
-    return rows.mapInPandas(run, "key long, class binary, bands array<long>, sketch array<long>")
+    return with_package(rows).mapInPandas(run, "key long, class binary, bands array<long>, sketch array<long>")
 
 
 def _differing(a: Column, b: Column, longs: int) -> Column:
@@ -134,7 +134,7 @@ def similar_classes(df: DataFrame, key_col: str, scope_col: str, text_col: str,
                 sims.append(both / (len(of_last) + len(other) - both))
             yield pd.DataFrame({"a": batch["a"], "b": batch["b"], "similarity": sims})
 
-    found = with_both.mapInPandas(verify, "a long, b long, similarity double")
+    found = with_package(with_both).mapInPandas(verify, "a long, b long, similarity double")
     # both / union >= s in whole numbers would be exact; the smallest slack covers the division
     return materialize(found.where(F.col("similarity") >= p.similarity - 1e-12)), members
 

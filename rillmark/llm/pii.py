@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from rillmark.llm.boosting import BoostedTrees, best_threshold
 from rillmark.llm.pii_candidates import N_FEATURES, TYPES, Lexicon, candidates, features
 from rillmark.llm.pii_examples import labelled_texts
+from rillmark.session import with_package
 
 #: Most labelled texts the classifiers are fitted on, and the share held out for the thresholds.
 TRAINING_TEXTS = 3000
@@ -102,7 +103,7 @@ def _apply(df: DataFrame, doc_col: str, text_col: str, known_names: DataFrame, m
         for b in batches:
             yield make(b, detector.spans(list(b["text"])))
 
-    return rows.mapInPandas(run, f"doc {rows.schema['doc'].dataType.simpleString()}, {schema}").withColumnRenamed("doc", doc_col)
+    return with_package(rows).mapInPandas(run, f"doc {rows.schema['doc'].dataType.simpleString()}, {schema}").withColumnRenamed("doc", doc_col)
 
 
 def find_personal_data(df: DataFrame, doc_col: str, text_col: str, known_names: DataFrame) -> DataFrame:

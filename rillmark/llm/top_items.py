@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rillmark.session import with_package
+
 
 def top_n_per_group(
     df: DataFrame,
@@ -67,7 +69,7 @@ def top_n_per_group(
         return b[b.groupby(g, sort=False).cumcount() < n]
 
     bound = (
-        rows.mapInPandas(bounds, schema)
+        with_package(rows).mapInPandas(bounds, schema)
         .groupBy(*g)
         .agg(F.min(F.struct("low", *t)).alias("bound"), F.sum("n_rows").alias("n_rows"))
         .where(F.col("n_rows") > min_group_rows)
