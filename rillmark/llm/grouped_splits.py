@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rillmark.functions.ranking import row_number_in_groups
@@ -157,11 +157,6 @@ def split_shares(splits: DataFrame, targets: dict[str, float]) -> DataFrame:
     spark = splits.sparkSession
     want = spark.createDataFrame(sorted((s, float(x)) for s, x in targets.items()), "split_name string, target_share double")
     n = splits.groupBy("split_name").agg(F.count(F.lit(1)).alias("records"))
-    total = F.sum("records").over(_whole())
+    total = F.sum("records").over(Window.partitionBy(F.lit(1)))
     return want.join(n, "split_name", "left").fillna(0, ["records"]).withColumn("actual_share", F.when(total > 0, F.col("records") / total).otherwise(0.0))
 
-
-def _whole():
-    from pyspark.sql import Window
-
-    return Window.partitionBy(F.lit(1))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from rillmark.llm import format_duplicates, grouped_splits, mixing, splitting, top_items
 from rillmark.llm.queries import RECORDS, add
-from rillmark.session import table
+from rillmark.session import materialize, table
 
 
 def _every_kind(make) -> DataFrame:
@@ -118,7 +118,7 @@ def p5_found(spark, sf_dir):
 
 
 def _mix(spark, sf_dir):
-    counted = mixing.materialize(mixing.count_tokens(table(spark, sf_dir, "documents"), "doc_id", "source", "text"))
+    counted = materialize(mixing.count_tokens(table(spark, sf_dir, "documents"), "doc_id", "source", "text"))
     return mixing.mix_sources(counted, table(spark, sf_dir, "source_targets"))
 
 
