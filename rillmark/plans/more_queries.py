@@ -88,12 +88,11 @@ def c29(spark, d):
 
 @add("c32_edit_similar_questions")
 def c32(spark, d):
-    """Questions that share most words are compared by edit similarity; the word join makes no pair of strangers."""
+    """All pairs of distinct normal forms; the candidates come from a bound of the ratio, which is then computed."""
     q = questions(spark, d).select("query_id", X.ascii_norm(F.col("question")).alias("norm")).where("norm <> ''")
-    same = q.groupBy("norm").agg(F.min("query_id").alias("query_id"), F.count(F.lit(1)).alias("copies"))
-    near = dedup.shingle_pairs(same, "query_id", "norm", 0.5, size=1).select("a", "b")
-    both = near.join(same.select(F.col("query_id").alias("a"), F.col("norm").alias("na")), "a").join(same.select(F.col("query_id").alias("b"), F.col("norm").alias("nb")), "b")
-    return records.edit_similarity(both, "na", "nb", "ratio").where("ratio >= 0.88").select("a", "b", F.round("ratio", 6).alias("ratio"))
+    same = q.groupBy("norm").agg(F.min("query_id").alias("query_id"))
+    near = dedup.edit_candidates(same, "query_id", "norm", 0.88)
+    return records.edit_similarity(near, "ta", "tb", "ratio").where("ratio >= 0.88").select("a", "b", F.round("ratio", 6).alias("ratio"))
 
 
 @add("c36_question_overlap", rf"""

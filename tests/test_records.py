@@ -1,6 +1,13 @@
 """The small Arrow helpers."""
 
+import random
+from difflib import SequenceMatcher
+
+import pytest
+
 from rillmark.functions import records
+from rillmark.operators import dedup
+from rillmark.plans.catalogue import REGISTRY
 
 
 def test_json_leaves(spark):
@@ -19,3 +26,36 @@ def test_pack_sections(spark):
     df = spark.createDataFrame([(1, text), (2, None), (3, "")], "k long, t string")
     out = records.pack_sections(df, "k", "t", r"^[A-Z][a-z]+$", size=5).collect()
     assert [(r["heading"], r["chunk_text"]) for r in out] == [(None, "intro one two"), ("Heading", "a b c\nd e"), ("Heading", "f g h i j k l"), ("Other", "z")]
+
+
+def _edited_questions() -> list[str]:
+    """Short questions, each also with one character changed in several of its words."""
+    rng = random.Random(9)
+    words = ["who", "deferred", "the", "roof", "sheets", "tool", "chests", "sent", "to", "joramar", "when", "was", "grain", "store", "paid"]
+    out = {"ab", "abc", "a", "abcdefgh", "abcdefghi"}
+    for _ in range(30):
+        base = [rng.choice(words) for _ in range(rng.randint(4, 9))]
+        out.add(" ".join(base))
+        for changed in range(1, 5):
+            edited = list(base)
+            for i in rng.sample(range(len(base)), min(changed, len(base))):
+                at = rng.randrange(len(edited[i]))
+                edited[i] = edited[i][:at] + rng.choice(["", "x", edited[i][at] * 2]) + edited[i][at + 1 :]
+            out.add(" ".join(" ".join(edited).split()))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("threshold", [0.85, 0.88, 0.95])
+def test_edit_candidates_hold_every_pair(spark, threshold):
+    texts = _edited_questions()
+    want = {(i, j) for j, b in enumerate(texts) for i, a in enumerate(texts[:j]) if SequenceMatcher(None, a, b, autojunk=False).ratio() >= threshold}
+    pairs = dedup.edit_candidates(spark.createDataFrame(list(enumerate(texts)), "k long, t string"), "k", "t", threshold)
+    got = {(r["a"], r["b"]) for r in records.edit_similarity(pairs, "ta", "tb", "r").where(f"r >= {threshold}").collect()}
+    assert len(want) > 20 and got == want
+
+
+def test_edit_similar_questions_with_few_words_in_common(spark, tmp_path):
+    asked = [("q1", "who deferred the roof sheets sent to joramar"), ("q2", "who defered the roof sheetz sent to joranmar"), ("q3", "when was the grain store paid")]
+    spark.createDataFrame(asked, "query_id string, query_text string").write.parquet(f"{tmp_path}/retrieval_runs.parquet")
+    out = REGISTRY.queries["c32_edit_similar_questions"](spark, str(tmp_path)).collect()
+    assert [(r["a"], r["b"]) for r in out] == [("q1", "q2")]
