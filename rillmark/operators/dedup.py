@@ -110,23 +110,35 @@ def first_of(df: DataFrame, by: list[str], order: list) -> DataFrame:
     return first.unionByName(df.where(" or ".join(f"`{c}` is null" for c in by)))
 
 
-def greedy_keep(pairs: DataFrame, max_rounds: int = 100) -> DataFrame:
+#: So many pairs are settled in the driver at most; more are settled in rounds on the executors.
+LOCAL_PAIRS = 20_000
+
+
+def greedy_keep(pairs: DataFrame, local_pairs: int = LOCAL_PAIRS) -> DataFrame:
     """Rejected nodes of a greedy first-wins pass over ``pairs`` (``a`` comes before ``b``): ``b``, ``retained``.
 
     A node is rejected by the first kept node it pairs with; a rejected node rejects none. Each round
-    settles the nodes all of whose predecessors are settled, so the rounds are at most the longest
-    chain of pairs.
+    settles the nodes all of whose predecessors are settled, until no pair is left: the smallest node of
+    those left is settled in any case. Once at most ``local_pairs`` are left, as along a chain, which
+    takes a round for every two nodes, they are settled in their order in the driver.
     """
-    left = materialize(pairs.select("a", "b").distinct())
-    out = None
-    for _ in range(max_rounds):
-        if left.isEmpty():
+    first = materialize(pairs.select("a", "b").where("a < b").distinct())
+    left, out = first, None
+    while True:
+        few = left.limit(local_pairs + 1).collect()
+        if len(few) <= local_pairs:
             break
         kept = left.select(F.col("a").alias("k")).distinct().join(left.select(F.col("b").alias("k")), "k", "left_anti")
-        hit = left.join(kept, F.col("a") == F.col("k")).groupBy("b").agg(F.min("a").alias("retained"))
-        hit = materialize(hit)
+        hit = materialize(left.join(kept, F.col("a") == F.col("k"), "left_semi").select("b").distinct())
         out = hit if out is None else out.union(hit)
         gone = hit.select(F.col("b").alias("g"))
         left = left.join(kept, F.col("a") == F.col("k"), "left_anti")
         left = materialize(left.join(gone, F.col("a") == F.col("g"), "left_anti").join(gone, F.col("b") == F.col("g"), "left_anti"))
-    return out if out is not None else pairs.select("b", F.col("a").alias("retained"))
+    rejected = set()
+    for a, b in sorted(few, key=lambda p: (p["b"], p["a"])):  # all pairs of a as the later node come before
+        if a not in rejected:
+            rejected.add(b)
+    rest = first.sparkSession.createDataFrame([(b,) for b in sorted(rejected)], first.select("b").schema)
+    out = materialize(rest if out is None else out.union(rest))
+    of_kept = first.join(out.select(F.col("b").alias("g")), F.col("a") == F.col("g"), "left_anti")
+    return of_kept.join(out, "b", "left_semi").groupBy("b").agg(F.min("a").alias("retained"))

@@ -156,6 +156,19 @@ def test_greedy_keep(spark):
     assert rows(dedup.greedy_keep(pairs)) == [(2, 1), (4, 3), (6, 5)]
 
 
+@pytest.mark.parametrize("local_pairs", [0, 3, dedup.LOCAL_PAIRS])
+def test_greedy_keep_names_the_first_kept(spark, local_pairs):
+    # 9 pairs with 7, which is kept at once, and with 5, which is kept only after 2 is rejected
+    pairs = spark.createDataFrame([(1, 2), (2, 5), (5, 9), (7, 9)], "a long, b long")
+    assert rows(dedup.greedy_keep(pairs, local_pairs)) == [(2, 1), (9, 5)]
+
+
+@pytest.mark.parametrize("local_pairs", [210, dedup.LOCAL_PAIRS])
+def test_greedy_keep_settles_a_long_chain(spark, local_pairs):
+    pairs = spark.createDataFrame([(i, i + 1) for i in range(230)], "a long, b long")
+    assert sorted(map(tuple, dedup.greedy_keep(pairs, local_pairs).collect())) == [(i, i - 1) for i in range(1, 231, 2)]
+
+
 def test_graph_scores_by_hand(spark):
     seeds = spark.createDataFrame([("q", "s")], "q string, entity string")
     contains = spark.createDataFrame([("c1", "s"), ("c2", "t"), ("c3", "far")], "c string, entity string")
