@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from rillmark.functions import text as X
 from rillmark.functions.ranking import row_number_in_groups
 from rillmark.operators.metrics import violations
+from rillmark.operators.pairing import cross_pairs
 from rillmark.plans.catalogue import REGISTRY
 from rillmark.plans.metric_queries import ranked
 from rillmark.plans.sql_parts import RANKED
@@ -145,6 +146,17 @@ def j09(spark, d):
     return a.join(h.select("r", F.col("query_id").alias("query_b"), F.col("category").alias("cb")), "r").where("ca <> cb").select("query_a", "query_b")
 
 
+@add("j09_synthesis_rounds")
+def j09_rounds(spark, d):
+    """Every question that can be is paired, across categories and with disjoint documents of its positive judgments."""
+    docs = table(spark, d, "chunks_v2").select("chunk_id", F.lower(F.trim("document_id")).alias("doc")).where("doc is not null").distinct()
+    gold = table(spark, d, "qrels").where("relevance > 0").select("query_id", "chunk_id").distinct().join(docs, "chunk_id").groupBy("query_id").agg(F.collect_set("doc").alias("docs"))
+    pairs = cross_pairs(questions(spark, d).join(gold, "query_id", "left"), "query_id", "category", "docs")
+    h = {c: salted("pair", c) for c in "ab"}
+    first = (h["a"] < h["b"]) | ((h["a"] == h["b"]) & (F.col("a") < F.col("b")))
+    return pairs.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("query_a"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("query_b"))
+
+
 @add("j10_audit_sheet", f"""
 WITH {QUESTIONS} SELECT query_id, category FROM qs QUALIFY row_number() OVER (PARTITION BY category ORDER BY {salted_sql('audit', 'query_id')}) <= ceil(0.1 * count(*) OVER (PARTITION BY category))""")
 def j10(spark, d):
