@@ -55,6 +55,15 @@ def f18(spark, d):
     return hits.groupBy(F.col("phrase").alias("alias")).agg(F.count(F.lit(1)).alias("documents"), F.min("doc_id").alias("first_doc"))
 
 
+@add("c38_alias_spans")
+def c38_spans(spark, d):
+    """Every hit of every alias in documents, chunks and raw extracted texts (c38_phrase_occurrences has one phrase)."""
+    of = (("documents", "doc_id"), ("chunks_v2", "chunk_row"), ("extracted_documents", "ext_row"))
+    texts = [table(spark, d, t).select(F.concat(F.lit(f"{t}:"), F.col(k).cast("string")).alias("place"), "text") for t, k in of]
+    hits = G.phrase_spans(texts[0].unionByName(texts[1]).unionByName(texts[2]), "place", "text", _aliases(spark, d), "alias")
+    return hits.select(F.substring_index("place", ":", 1).alias("source"), F.substring_index("place", ":", -1).alias("id"), *[c for c in hits.columns if c != "place"])
+
+
 @add("b32_positions", "SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS position FROM orders")
 def b32(spark, d):
     return table(spark, d, "orders").select("o_orderkey", F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")).alias("position"))

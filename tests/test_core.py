@@ -178,6 +178,18 @@ def test_graph_scores_by_hand(spark):
     assert got == {"c1": pytest.approx((math.log(11 / 2) + 1) * 0.5), "c2": pytest.approx((math.log(11 / 2) + 1) * 0.25)}
 
 
+def test_phrase_spans(spark):
+    texts = {"d": "\u0130 said: Gram  Sabha, (gram-sabha)\nx", "c": "one two three four five six seven eight", "e": '{"a": "gram sabha"}' + " y" * 200, "n": None}
+    df = spark.createDataFrame(list(texts.items()), "k string, t string")
+    phrases = spark.createDataFrame([("gram sabha",), ("one two three four five six seven",), ("x",)], "p string")
+    out = {(r["k"], r["phrase"], r["token_start"]): r for r in graph.phrase_spans(df, "k", "t", phrases, "p").collect()}
+    assert sorted(out) == [("c", "one two three four five six seven", 1), ("d", "gram sabha", 3), ("d", "gram sabha", 5), ("d", "x", 7), ("e", "gram sabha", 2)]
+    cut = {k: texts[k[0]][r["char_start"] : r["char_end"]] for k, r in out.items()}
+    assert cut == {("c", "one two three four five six seven", 1): "one two three four five six seven", ("d", "gram sabha", 3): "Gram  Sabha", ("d", "gram sabha", 5): "gram-sabha", ("d", "x", 7): "x", ("e", "gram sabha", 2): "gram sabha"}
+    for (k, _, _), r in out.items():
+        assert r["excerpt"] == " ".join(texts[k][max(0, r["char_start"] - 110) : r["char_end"] + 150].split())
+
+
 def test_longest_match(spark):
     texts = spark.createDataFrame([("q", "the urban water scheme of the state"), ("r", None)], "k string, t string")
     phrases = spark.createDataFrame([("urban water",), ("urban water scheme",), ("water",), ("the state",), ("sch",)], "p string")
