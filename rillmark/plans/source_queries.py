@@ -10,7 +10,7 @@ from rillmark.operators.retrieval import Bm25Index
 from rillmark.plans.catalogue import REGISTRY
 from rillmark.plans.metric_queries import panel, ranked
 from rillmark.plans.sql_parts import PANEL, RANKED
-from rillmark.session import materialize, scratch, table
+from rillmark.session import scratch, table
 from rillmark.sources import files
 from rillmark.streaming import pipelines
 
@@ -99,13 +99,10 @@ def a21(spark, d):
 @add("i01_tumbling_windows", """
 SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL""")
 def i01(spark, d):
-    """The stream's closed windows, and the windows still open at its end from the same files."""
-    events = table(spark, d, "events").select("ts", "event_type", "value")
+    """Windows of the stream, those still open at its end in their last state."""
     stream = pipelines.read_stream(spark, f"{d}/events.parquet", table(spark, d, "events")).select("ts", "event_type", "value")
-    closed = materialize(pipelines.run_to_table(pipelines.tumbling_counts(stream)))
-    batch = events.withColumn("ts", F.col("ts").cast("timestamp")).groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 6).alias("total"))
-    open_ = batch.select(F.col("window.start").alias("window_start"), "event_type", "n", "total").join(closed, ["window_start", "event_type"], "left_anti")
-    return closed.unionByName(open_).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+    counted = pipelines.run_updates(pipelines.tumbling_counts(stream), ["window_start", "event_type"])
+    return counted.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
 @add("i02_first_arrivals", "SELECT sha256(text) AS text_sha, count(*) > 0 AS arrived FROM documents WHERE text IS NOT NULL AND ingested_at IS NOT NULL GROUP BY 1")

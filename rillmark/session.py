@@ -22,10 +22,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share, from ``spark.checkpoint.dir``.
 
-    Only where that is unset (local tests) a folder of this machine is made.
+    Where that is unset, a local session gets a folder of this machine; on a cluster, whose executors
+    would each write to their own disk, it is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="spark-rillmark-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
@@ -49,6 +52,15 @@ def with_package(df: DataFrame) -> DataFrame:
     return df
 
 
+def with_file(df: DataFrame, path: str) -> str:
+    """The name under which tasks find the local file ``path`` with ``SparkFiles.get``, after it was sent to them once."""
+    sc = df.sparkSession.sparkContext
+    if f"{sc.applicationId}:{path}" not in _shipped:
+        sc.addFile(path)
+        _shipped.add(f"{sc.applicationId}:{path}")
+    return os.path.basename(path)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder, removed when the driver's interpreter ends."""
     path = f"{shared_folder(spark)}/rillmark/{name}-{uuid.uuid4().hex}"

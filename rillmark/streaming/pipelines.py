@@ -2,22 +2,21 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rillmark.session import scratch
 
 
 def read_stream(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
-    """Files of ``path`` as they arrive, with the schema of ``like``."""
-    folder, name = os.path.split(path.rstrip("/"))
-    if name.endswith(".parquet"):
-        # one file in a folder of tables, or a folder of part files
-        glob, where = ("*.parquet", path) if os.path.isdir(path) else (name, folder)
-        return spark.readStream.schema(like.schema).option("pathGlobFilter", glob).parquet(where)
-    return spark.readStream.schema(like.schema).parquet(path)
+    """Files of ``path``, a folder or one file on any file system, as they arrive, with the schema of ``like``."""
+    folder, _, name = path.rstrip("/").rpartition("/")
+    reader = spark.readStream.schema(like.schema)
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(place).isDirectory():
+        return reader.option("pathGlobFilter", "*.parquet").parquet(path)
+    return reader.option("pathGlobFilter", name).parquet(folder)  # one file in a folder of tables
 
 
 def run_to_table(stream: DataFrame, mode: str = "append") -> DataFrame:
@@ -33,6 +32,26 @@ def run_to_table(stream: DataFrame, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{base}/table")
 
 
+def run_updates(stream: DataFrame, keys: list[str]) -> DataFrame:
+    """Run an aggregating stream over all that has arrived and return the last state of every group.
+
+    Each batch's changed groups are written under its number, so a batch that is run again after a failure
+    replaces what it wrote before; groups whose windows are still open are among them.
+    """
+    spark = stream.sparkSession
+    base = scratch(spark, "stream")
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{base}/table/batch={number}")
+
+    query = stream.writeStream.outputMode("update").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).foreachBatch(write).start()
+    query.awaitTermination()
+    values = [c for c in stream.columns if c not in keys]
+    changes = spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])).parquet(f"{base}/table")
+    last = changes.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("last"))
+    return last.select(*keys, *[F.col(f"last.{c}").alias(c) for c in values])
+
+
 def tumbling_counts(events: DataFrame, ts: str = "ts", kind: str = "event_type", value: str = "value", size: str = "1 hour", late: str = "1 day") -> DataFrame:
     """Count and sum per window and kind; rows later than ``late`` are dropped by the watermark."""
     marked = events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late)

@@ -1,11 +1,15 @@
 """Round trips and refusals of the readers and writers; the registry's contract."""
 
+import glob
 import zipfile
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from rillmark.session import scratch, shared_folder
 from rillmark.sources import files
+from rillmark.streaming import pipelines
 
 
 def test_read_files(spark, tmp_path):
@@ -49,3 +53,34 @@ def test_registry():
 def test_entry(spark):
     out = entry.entry(spark)
     assert out.count() > 0 and "graded_ndcg_at_10" in out.columns
+
+
+class _Cluster:
+    """Stands for a session whose master is not local."""
+
+    class sparkContext:
+        master = "spark://somewhere:7077"
+
+    class conf:
+        folder = None
+
+        @classmethod
+        def get(cls, name, default):
+            return cls.folder or default
+
+
+def test_a_cluster_without_a_shared_folder_is_refused(spark):
+    with pytest.raises(ValueError):
+        shared_folder(_Cluster)
+    _Cluster.conf.folder = "/shared"
+    assert shared_folder(_Cluster) == "/shared" and shared_folder(spark)
+
+
+def test_streams_read_a_file_or_a_folder(spark):
+    base = scratch(spark, "arrivals")
+    rows = spark.createDataFrame([(1, "a"), (2, "b"), (3, "b")], "n long, k string")
+    rows.coalesce(1).write.parquet(f"{base}/all.parquet")
+    (file,) = glob.glob(f"{base}/all.parquet/*.parquet")
+    for path in (f"{base}/all.parquet", file):
+        stream = pipelines.read_stream(spark, path, rows).groupBy("k").agg(F.sum("n").alias("n"))
+        assert sorted(map(tuple, pipelines.run_updates(stream, ["k"]).collect())) == [("a", 1), ("b", 5)]
