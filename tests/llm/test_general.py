@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from rillmark.llm import format_duplicates, grouped_splits, mixing, splitting, top_items
 
 
-def test_top_n_matches_brute_force(spark):
+def test_top_n_matches_brute_force(spark, monkeypatch):
     rng = random.Random(1)
     data = []
     for i in range(6000):
@@ -31,14 +31,27 @@ def test_top_n_matches_brute_force(spark):
         groups.setdefault((q, r), []).append((-s, c or "", run, c))
     for (q, r), items in groups.items():
         want |= {(q, r, run, c) for _, _, run, c in sorted(items, key=lambda x: x[:3])[:10]}
-    for least in (0, None):
-        out = top_items.top_n_per_group(df, ["q", "retriever"], "score", ["chunk", "run"], 10, min_group_rows=least)
+    for held in (top_items.HELD_ROWS, 50):
+        monkeypatch.setattr(top_items, "HELD_ROWS", held)
+        out = top_items.top_n_per_group(df, ["q", "retriever"], "score", ["chunk", "run"], 10)
         assert {(x["q"], x["retriever"], x["run"], x["chunk"]) for x in out.collect()} == want
-    one = top_items.top_n_per_group(df, ["q", "retriever"], "score", ["chunk", "run"], 10, min_group_rows=0, max_bound_groups=1)
-    assert one.count() == len(want)
     assert top_items.top_n_per_group(df.limit(0), ["q"], "score", ["chunk"], 3).count() == 0
 
 
+def test_every_group_has_a_bound(spark):
+    """100,000 groups of 20 rows and one of a million in 16 partitions: the rows left are near the result, the null group included."""
+    big = spark.range(0, 1_000_000, 1, 16).select(F.lit(None).cast("long").alias("g"), F.rand(1).alias("s"), "id")
+    small = spark.range(0, 2_000_000, 1, 16).select((F.col("id") % 100_000).alias("g"), F.rand(2).alias("s"), (F.col("id") + 2**60).alias("id"))
+    df = big.union(small).coalesce(16)
+    left = top_items.bounded_items(df, ["g"], "s", ["id"], 3)
+    rows = {r["hot"]: r["n"] for r in left.groupBy(F.isnull("key.g0").alias("hot")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert rows[True] <= 3 * 16 and rows[False] < 2_000_000
+    out = top_items.top_n_per_group(df, ["g"], "s", ["id"], 3)
+    assert out.count() == 300_003
+    best = big.orderBy(F.desc("s"), "id").limit(3)
+    assert {r["id"] for r in out.where("g is null").collect()} == {r["id"] for r in best.collect()}
+
+
 def _check_pieces(text, pieces, limit, overlap):
     words = text.split()
     assert all(len(p["piece_text"].split()) == p["piece_words"] <= limit for p in pieces)
