@@ -2,79 +2,155 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rillmark.functions.ranking import running_sum
+from rillmark.session import with_package
 
 
-def hash_draw(*parts: Column) -> Column:
-    """A reproducible 32-bit draw from the md5 of its parts joined by a dash."""
-    return F.conv(F.substring(F.md5(F.concat_ws("-", *[p.cast("string") for p in parts])), 1, 8), 16, 10).cast("long")
+#: Draws of the reference's intervals and randomisation tests.
+SAMPLES = 10_000
+#: 16-bit bounds of the Poisson distribution of mean 1: a draw below the k-th bound counts its row at most k times.
+POISSON = tuple(int(65536 * sum(math.exp(-1) / math.factorial(j) for j in range(k + 1))) for k in range(8))
 
 
-def numbered(diffs: DataFrame, query: str, value: str) -> DataFrame:
-    """``i`` from 0 in the order of the query, ``n`` the count, ``d`` the value; nulls are left out.
+def _digests(key: str, blocks: int) -> bytes:
+    return b"".join(hashlib.md5(f"{key}-{b}".encode()).digest() for b in range(blocks))
 
-    Queries must be unique.
-    """
-    known = diffs.where(F.col(value).isNotNull()).select(F.col(query).alias("q"), F.col(value).alias("d"))
-    placed = running_sum(known, ["q"], F.lit(1).cast("long"), "place")
-    return placed.select("q", "d", (F.col("place") - 1).alias("i"), F.lit(placed.count()).cast("long").alias("n"))
-
-
-def each_sample(diffs: DataFrame, samples: int) -> DataFrame:
-    """Every row once for each sample number ``s`` from 1."""
-    return diffs.withColumn("s", F.explode(F.sequence(F.lit(1), F.lit(samples))))
-
-
-def bootstrap_means(diffs: DataFrame, samples: int) -> DataFrame:
-    """Means of ``samples`` resamples with replacement: ``s`` from 1, ``m``. ``diffs`` comes from ``numbered``."""
-    slots = each_sample(diffs.select("i", "n"), samples)
-    drawn = slots.select("s", F.pmod(hash_draw(F.col("s"), F.col("i")), F.col("n")).alias("pick"))
-    return drawn.join(diffs.select(F.col("i").cast("long").alias("pick"), "d"), "pick").groupBy("s").agg(F.avg("d").alias("m"))
-
-
-def bootstrap_interval(diffs: DataFrame, samples: int, low: float = 0.025, high: float = 0.975) -> DataFrame:
-    """Mean difference with percentile bounds: ``mean``, ``low``, ``high``, ``n``."""
-    ends = bootstrap_means(diffs, samples).agg(F.percentile("m", F.lit(low)).alias("low"), F.percentile("m", F.lit(high)).alias("high"), F.lit(1).alias("k"))
-    return diffs.agg(F.avg("d").alias("mean"), F.count(F.lit(1)).alias("n"), F.lit(1).alias("k")).join(ends, "k").drop("k")
 
+def resampled_sums(df: DataFrame, groups: list[str], key: str, value: str, samples: int, signs: bool = False) -> DataFrame:
+    """``groups``, ``s`` (from 1), ``total``, ``weight``: sums of ``value`` over each of ``samples`` resamples of every group.
 
-def sign_flip(diffs: DataFrame, samples: int, tolerance: float = 1e-15) -> DataFrame:
-    """Two-sided sign randomisation: p = (as extreme + 1) / (samples + 1)."""
-    slots = each_sample(diffs.select("i", "d"), samples)
-    sign = F.when(hash_draw(F.col("s"), F.col("i")) % 2 == 0, 1.0).otherwise(-1.0)
-    means = slots.groupBy("s").agg(F.avg(sign * F.col("d")).alias("m"), F.lit(1).alias("k"))
-    seen = diffs.agg(F.avg("d").alias("observed"), F.lit(1).alias("k"))
-    both = means.join(seen, "k")
-    return both.agg(F.max("observed").alias("observed"), ((F.sum((F.abs("m") >= F.abs("observed") - tolerance).cast("long")) + 1) / F.lit(samples + 1.0)).alias("p"))
-
-
-def exact_signs(diffs: DataFrame, most: int = 20) -> DataFrame:
-    """One-sided exact sign randomisation over all 2^m signs of the m nonzero differences; refuses m over ``most``."""
-    nonzero = diffs.where("d <> 0").withColumn("bit", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("i")) - 1)
-    m = nonzero.count()
-    if m > most:
-        raise ValueError(f"{m} nonzero differences; use sign_flip beyond {most}")
-    signs = nonzero.select("bit", "d", F.explode(F.sequence(F.lit(0), F.lit((1 << m) - 1))).alias("v"))
-    sums = signs.groupBy("v").agg(F.sum(F.when(F.expr("shiftright(v, bit) & 1") == 1, F.col("d")).otherwise(-F.col("d"))).alias("t"), F.lit(1).alias("k"))
-    seen = nonzero.agg(F.sum("d").alias("observed"), F.lit(1).alias("k"))
-    return sums.join(seen, "k").agg(F.count(F.lit(1)).alias("vectors"), F.avg((F.col("t") >= F.col("observed") - 1e-12).cast("double")).alias("p"))
-
-
-def exact_win_loss(diffs: DataFrame) -> DataFrame:
-    """One-sided exact sign randomisation of wins and losses, ties left out: ``wins``, ``losses``, ``p``.
-
-    With equal magnitudes the share of all sign vectors that win at least as often is a binomial tail,
-    so any number of queries is exact; without wins or losses p is 1. Only two counts reach the driver.
+    A resample counts every row by its own draw from Poisson(1), the form of the bootstrap that needs
+    neither row numbers nor a join: the draws come from the md5 of the row's ``key`` and each task adds up
+    its rows. With ``signs`` every row has a random sign instead. Groups must be few; rows with a null
+    value are left out; rows of equal key are drawn together.
+    """
+    rows = df.where(F.col(value).isNotNull()).select(*groups, F.col(key).cast("string").alias("key"), F.col(value).cast("double").alias("value"))
+    blocks = -(-samples // (128 if signs else 8))
+    table = np.searchsorted(np.array(POISSON), np.arange(65536), side="right").astype(np.float64)
+
+    def draws(key: str) -> np.ndarray:
+        raw = _digests(key, blocks)
+        if signs:
+            return 1.0 - 2.0 * np.unpackbits(np.frombuffer(raw, np.uint8))[:samples]
+        return table[np.frombuffer(raw, ">u2")[:samples]]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[tuple, list[np.ndarray]] = {}
+        for b in batches:
+            for k, part in b.groupby("key", sort=False, dropna=False):
+                d = draws(k)
+                for *g, _, v in part.itertuples(index=False, name=None):
+                    total, weight = sums.setdefault(tuple(g), [np.zeros(samples), np.zeros(samples)])
+                    total += d * v
+                    weight += np.abs(d)
+        for g, (total, weight) in sums.items():
+            yield pd.DataFrame({**dict(zip(groups, g)), "s": np.arange(1, samples + 1), "total": total, "weight": weight})
+
+    types = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in rows.schema.fields[: len(groups)])
+    parts = with_package(rows).mapInPandas(run, f"{types}s int, total double, weight double")
+    return parts.groupBy(*groups, "s").agg(F.sum("total").alias("total"), F.sum("weight").alias("weight"))
+
+
+def bootstrap_interval(df: DataFrame, groups: list[str], key: str, value: str, samples: int = SAMPLES, low: float = 0.025, high: float = 0.975) -> DataFrame:
+    """Mean of each group with percentile bounds of its resampled means: ``groups``, ``mean``, ``low``, ``high``, ``n``."""
+    means = resampled_sums(df, groups, key, value, samples).where("weight > 0").withColumn("m", F.col("total") / F.col("weight"))
+    ends = means.groupBy(*groups).agg(F.percentile("m", F.lit(low)).alias("low"), F.percentile("m", F.lit(high)).alias("high"))
+    seen = df.where(F.col(value).isNotNull()).groupBy(*groups).agg(F.avg(value).alias("mean"), F.count(F.lit(1)).alias("n"))
+    if not groups:
+        seen, ends = seen.withColumn("__k", F.lit(1)), ends.withColumn("__k", F.lit(1))
+    return seen.join(ends, groups or "__k").select(*groups, "mean", "low", "high", "n")
+
+
+def sign_flip(df: DataFrame, groups: list[str], key: str, value: str, samples: int = SAMPLES, tolerance: float = 1e-12) -> DataFrame:
+    """Two-sided sign randomisation of each group: ``groups``, ``observed`` mean, p = (as extreme + 1) / (samples + 1)."""
+    flipped = resampled_sums(df, groups, key, value, samples, signs=True).withColumn("m", F.abs(F.col("total") / F.col("weight")))
+    seen = df.where(F.col(value).isNotNull()).groupBy(*groups).agg(F.avg(value).alias("observed"))
+    if not groups:
+        seen, flipped = seen.withColumn("__k", F.lit(1)), flipped.withColumn("__k", F.lit(1))
+    extreme = (F.col("m") >= F.abs("observed") - tolerance).cast("long")
+    both = flipped.join(F.broadcast(seen), groups or "__k")  # a row a group
+    return both.groupBy(*groups).agg(F.max("observed").alias("observed"), ((F.sum(extreme) + 1) / F.lit(samples + 1.0)).alias("p"))
+
+
+def exact_signs(df: DataFrame, groups: list[str], value: str, digits: int = 4) -> DataFrame:
+    """One-sided exact sign randomisation of each group over all 2^m signs of its m nonzero differences: ``groups``, ``n``
+    (all), ``nonzero``, ``effect`` (mean), ``p``; any number of differences.
+
+    Differences, between -1 and 1, are taken in units of 10^-``digits``, so a group has at most 10^digits
+    different sizes, however many rows: their counts are all that leaves the tasks. With K the sum of the
+    sizes whose sign turns negative, P(sum >= observed) = P(K <= (all - observed) / 2). Its characteristic
+    function is a product of cosines, and the exact distribution on the whole numbers follows from its values
+    at ``all + 1`` frequencies, which are shared out among the tasks; a frequency is dropped as soon as its
+    product is below 1e-20. Groups must be few; nulls are left out; without nonzero differences p is 1.
     """
-    row = diffs.agg(F.coalesce(F.sum((F.col("d") > 0).cast("long")), F.lit(0)).alias("wins"), F.coalesce(F.sum((F.col("d") < 0).cast("long")), F.lit(0)).alias("losses")).first()
-    wins, m = row["wins"], row["wins"] + row["losses"]
-    tail = math.fsum(math.exp(math.lgamma(m + 1) - math.lgamma(j + 1) - math.lgamma(m - j + 1) - m * math.log(2)) for j in range(wins, m + 1))
-    return diffs.sparkSession.createDataFrame([(wins, row["losses"], min(1.0, tail))], "wins long, losses long, p double")
+    known = df.where(F.col(value).isNotNull()).select(*groups, F.col(value).alias("d"), F.floor(F.col(value) * 10**digits + 0.5).alias("u"))
+    seen = known.groupBy(*groups).agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("u") != 0).cast("long")).alias("nonzero"), F.avg("d").alias("effect"))
+    if known.where(f"abs(u) > {10**digits}").limit(1).count():
+        raise ValueError("differences must lie between -1 and 1")
+    sizes = known.where("u <> 0").groupBy(*groups, F.abs("u").alias("size")).agg(F.count(F.lit(1)).alias("count"), F.sum("u").alias("sum")).orderBy(*groups, "size").collect()
+    by: dict[tuple, list] = {}
+    for r in sizes:
+        by.setdefault(tuple(r[g] for g in groups), []).append((r["size"], r["count"], r["sum"]))
+    spark, tails = df.sparkSession, None
+    held = spark.sparkContext.broadcast([(g, np.array([x[:2] for x in v], dtype=np.int64), sum(x[2] for x in v)) for g, v in by.items()])
+    for number, (_, table, observed) in enumerate(held.value):
+        whole = int((table[:, 0] * table[:, 1]).sum())
+        frequencies = spark.range(1, whole // 2 + 1).select(F.lit(number).alias("__test"), F.col("id").alias("j"))
+        tails = frequencies if tails is None else tails.union(frequencies)
+    schema = df.select(*groups).schema.fields + [T.StructField("__test", T.IntegerType())]
+    named = spark.createDataFrame([(*g, i) for i, g in enumerate(by)], T.StructType(schema))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for test, part in b.groupby("__test"):
+                _, table, observed = held.value[test]
+                yield pd.DataFrame({"__test": [test], "part": [_tail_terms(part["j"].to_numpy(), table, observed)]})
+
+    if tails is None:
+        return seen.withColumn("p", F.lit(1.0))
+    sums = with_package(tails).mapInPandas(run, "__test int, part double").groupBy("__test").agg(F.sum("part").alias("part"))
+    limits = spark.createDataFrame([(i, *_limits(t, o)) for i, (_, t, o) in enumerate(held.value)], "__test int, whole long, most long")
+    tail = named.join(limits, "__test").join(sums, "__test", "left")
+    p = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col("most") + 1 + 2 * F.coalesce("part", F.lit(0.0))) / (F.col("whole") + 1)))
+    tail = tail.select(*[F.col(g).alias(f"__{g}") for g in groups], p.alias("p"))
+    same = [F.col(g).eqNullSafe(F.col(f"__{g}")) for g in groups] or F.lit(True)
+    return seen.join(F.broadcast(tail), same, "left").select(*groups, "n", "nonzero", "effect", F.coalesce("p", F.lit(1.0)).alias("p"))
+
+
+def _limits(table: np.ndarray, observed: int) -> tuple[int, int]:
+    """The sum of all sizes, and the most that may turn negative."""
+    whole = int((table[:, 0] * table[:, 1]).sum())
+    return whole, (whole - observed) // 2
+
+
+def _tail_terms(j: np.ndarray, table: np.ndarray, observed: int) -> float:
+    """Sum over the frequencies ``j`` of the terms of P(K <= most), each standing for itself and its mirror image."""
+    whole, most = _limits(table, observed)
+    n = whole + 1
+
+    def turn(times: np.ndarray | int) -> np.ndarray:
+        return np.pi * ((j * times) % (2 * n)) / n
+
+    product = np.ones(len(j))
+    for size, count in table[np.argsort(-table[:, 1], kind="stable")]:
+        product *= np.cos(turn(size)) ** count
+        live = np.abs(product) > 1e-20
+        if not live.all():
+            j, product = j[live], product[live]
+    terms = product * np.cos(turn(whole - most)) * np.sin(turn(most + 1)) / np.sin(turn(1))
+    if n % 2 == 0:
+        terms = np.where(2 * j == n, terms / 2, terms)
+    return float(terms.sum())
 
 
 def holm(tests: DataFrame, name: str, p: str) -> DataFrame:

@@ -41,7 +41,7 @@ _metric_query("g06_hit_rate", "hit_rate_at_5", "hit_rate_at_10")
 _metric_query("g07_complete_evidence", "complete_evidence_recall_at_5", "complete_evidence_recall_at_10")
 _metric_query("g08_panel", *METRIC_COLUMNS)
 
-_CATEGORY = "category AS (SELECT query_id, min(" + category_sql("query_text") + ") AS category FROM retrieval_runs WHERE query_text IS NOT NULL GROUP BY query_id)"
+CATEGORY_SQL = "category AS (SELECT query_id, min(" + category_sql("query_text") + ") AS category FROM retrieval_runs WHERE query_text IS NOT NULL GROUP BY query_id)"
 
 
 def query_categories(spark, d) -> DataFrame:
@@ -50,7 +50,7 @@ def query_categories(spark, d) -> DataFrame:
 
 
 @add("g09_panel_rollup", f"""
-WITH {PANEL}, {_CATEGORY}
+WITH {PANEL}, {CATEGORY_SQL}
 SELECT retriever, CASE WHEN grouping(category) = 1 THEN 'all' ELSE coalesce(category, 'unknown') END AS category, count(*) AS n, {', '.join(f'round(avg({c}), 6) AS {c}' for c in METRIC_COLUMNS)}
 FROM panel LEFT JOIN category USING (query_id) GROUP BY GROUPING SETS ((retriever, category), (retriever))""")
 def g09(spark, d):

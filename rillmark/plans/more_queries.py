@@ -36,20 +36,20 @@ def b09(spark, d):
 
 
 _ALIASES = r"""al AS (SELECT DISTINCT trim(regexp_replace(lower(title), '[^\p{L}\p{N}]+', ' ', 'g')) AS alias FROM extracted_documents WHERE title IS NOT NULL),
-al6 AS (SELECT alias FROM al WHERE len(string_split(alias, ' ')) <= 6 AND alias <> ''), dn AS (SELECT doc_id, ' ' || array_to_string(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), ' ') || ' ' AS t FROM documents WHERE text IS NOT NULL)"""
+named AS (SELECT alias FROM al WHERE alias <> ''), dn AS (SELECT doc_id, ' ' || array_to_string(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), ' ') || ' ' AS t FROM documents WHERE text IS NOT NULL)"""
 
 
 def _aliases(spark, d):
     return table(spark, d, "extracted_documents").where("title is not null").select(X.unicode_norm(F.col("title")).alias("alias")).distinct().where("alias <> ''")
 
 
-@add("b10_containment_join", f"WITH {_ALIASES} SELECT doc_id, alias FROM dn JOIN al6 ON contains(t, ' ' || alias || ' ')")
+@add("b10_containment_join", f"WITH {_ALIASES} SELECT doc_id, alias FROM dn JOIN named ON contains(t, ' ' || alias || ' ')")
 def b10(spark, d):
     hits = G.phrase_occurrences(table(spark, d, "documents"), "doc_id", "text", _aliases(spark, d), "alias")
     return hits.select("doc_id", F.col("phrase").alias("alias")).distinct()
 
 
-@add("f18_alias_evidence", f"WITH {_ALIASES} SELECT alias, count(*) AS documents, min(doc_id) AS first_doc FROM dn JOIN al6 ON contains(t, ' ' || alias || ' ') GROUP BY alias")
+@add("f18_alias_evidence", f"WITH {_ALIASES} SELECT alias, count(*) AS documents, min(doc_id) AS first_doc FROM dn JOIN named ON contains(t, ' ' || alias || ' ') GROUP BY alias")
 def f18(spark, d):
     hits = G.phrase_occurrences(table(spark, d, "documents"), "doc_id", "text", _aliases(spark, d), "alias").select("doc_id", "phrase").distinct()
     return hits.groupBy(F.col("phrase").alias("alias")).agg(F.count(F.lit(1)).alias("documents"), F.min("doc_id").alias("first_doc"))

@@ -16,7 +16,7 @@ from rillmark.plans.catalogue import REGISTRY
 from rillmark.plans.metric_queries import LIST, panel, query_categories, ranked
 from rillmark.plans.sql_parts import PANEL, RANKED
 from rillmark.plans.text_queries import category_sql
-from rillmark.session import table
+from rillmark.session import materialize, table
 
 add = REGISTRY.add
 
@@ -116,7 +116,7 @@ co AS (SELECT least(x, y) AS a, greatest(x, y) AS b, count(*) AS weight FROM (SE
 
 
 def _mentions(spark, d) -> DataFrame:
-    return G.entity_mentions(table(spark, d, "documents"), "doc_id", "text")
+    return materialize(G.entity_mentions(table(spark, d, "documents"), "doc_id", "text"))  # read several times
 
 
 @add("f07_graph_edges", f"WITH {_MENTIONS} SELECT a, b, weight FROM co")
@@ -127,7 +127,7 @@ def f07(spark, d):
 _GENERIC_SQL = "(" + ", ".join(f"'{x}'" for x in X.GENERIC_TERMS) + ")"
 _SEEDS = rf"""{_MENTIONS},
 qn AS (SELECT item_id, ' ' || array_to_string(regexp_extract_all(lower(question), '[\p{{L}}\p{{N}}_]+'), ' ') || ' ' AS q FROM qa_items),
-sd AS (SELECT item_id, entity, documents FROM qn JOIN fr ON contains(q, ' ' || entity || ' ') WHERE len(string_split(entity, ' ')) <= 6),
+sd AS (SELECT item_id, entity, documents FROM qn JOIN fr ON contains(q, ' ' || entity || ' ')),
 se AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY length(entity) DESC, entity) AS r FROM sd WHERE length(entity) >= 3 AND entity NOT IN {_GENERIC_SQL} AND regexp_matches(entity, '[a-z]')),
 seeds AS (SELECT item_id, entity, documents FROM se WHERE r <= 5)"""
 
@@ -252,11 +252,17 @@ def f17(spark, d):
     return connected_components(edges)
 
 
-@add("f19_longest_match")
+@add("f19_longest_match", rf"""
+WITH {_MENTIONS}, qw AS (SELECT item_id, regexp_extract_all(lower(question), '[\p{{L}}\p{{N}}_]+') AS w FROM qa_items),
+ln AS (SELECT entity, CAST(len(string_split(entity, ' ')) AS INT) AS size FROM fr),
+rn AS (SELECT item_id, s.size, CAST(i - 1 AS INT) AS p, array_to_string(w[i:i + s.size - 1], ' ') AS run FROM (SELECT item_id, w, unnest(range(1, len(w) + 1)) AS i FROM qw), (SELECT DISTINCT size FROM ln) s WHERE i + s.size - 1 <= len(w)),
+ht AS (SELECT DISTINCT item_id, {{'low': -ln.size, 'phrase': entity, 'p': p}} AS h FROM rn JOIN ln ON entity = run AND ln.size = rn.size),
+fo AS (SELECT item_id, list_reduce(list(h ORDER BY h), lambda acc, x: CASE WHEN len(list_filter(acc, lambda y: y.phrase = x.phrase OR (y.p < x.p - x.low AND x.p < y.p - y.low))) = 0 THEN list_append(acc, x) ELSE acc END, CAST([] AS STRUCT(low INT, phrase VARCHAR, p INT)[])) AS taken FROM ht GROUP BY item_id)
+SELECT item_id, x.phrase AS phrase, x.p AS "at", -x.low AS size FROM (SELECT item_id, unnest(taken) AS x FROM fo)""")
 def f19(spark, d):
     entities = _mentions(spark, d).select("entity").distinct()
     hits = G.phrase_occurrences(_questions(spark, d), "item_id", "question", entities, "entity")
-    return G.longest_matches(hits, "item_id", 6)
+    return G.longest_matches(hits.withColumn("entity", F.col("phrase")), "item_id", "entity").drop("entity")
 
 
 @add("f20_graph_audit", f"""

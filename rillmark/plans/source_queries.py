@@ -59,7 +59,7 @@ def a13(spark, d):
     return files.read_qrels(spark, path)
 
 
-@add("a15_run_file", f"WITH {RANKED} SELECT run_id, query_id, retriever, chunk_id, score, rank FROM ranked WHERE rank <= 1000")
+@add("a15_run_file", f"WITH {RANKED} SELECT run_id, query_id, retriever, chunk_id, score, rank FROM ranked")
 def a15(spark, d):
     path = scratch(spark, "runs")
     files.write_runs(ranked(spark, d), path)

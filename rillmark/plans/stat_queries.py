@@ -5,31 +5,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from rillmark.functions.ranking import running_sum
 from rillmark.operators import retrieval as R
 from rillmark.operators import stats as S
 from rillmark.plans.catalogue import REGISTRY
-from rillmark.plans.metric_queries import panel
-from rillmark.plans.sql_parts import DIFFERENCES, PANEL
+from rillmark.plans.metric_queries import CATEGORY_SQL, panel, query_categories
+from rillmark.plans.sql_parts import DIFFERENCES, METRIC_COLUMNS, PANEL
 from rillmark.session import materialize, table
 
 add = REGISTRY.add
-SAMPLES = 1000
 
 
-def _pair(spark, d, other: str = "dense_flat", metric: str = "graded_ndcg_at_10") -> DataFrame:
-    per = panel(spark, d).groupBy("query_id", "retriever").agg(F.avg(metric).alias("v"))
-    a = per.where("retriever = 'bm25'").select("query_id", F.col("v").alias("va"))
-    b = per.where(F.col("retriever") == other).select("query_id", F.col("v").alias("vb"))
-    return a.join(b, "query_id").withColumn("d", F.col("va") - F.col("vb"))
+def _per_query(spark, d) -> DataFrame:
+    return panel(spark, d).groupBy("query_id", "retriever").agg(F.avg("graded_ndcg_at_10").alias("v"))
 
 
-def _diffs(spark, d) -> DataFrame:
-    return materialize(S.numbered(_pair(spark, d), "query_id", "d"))
+def _pair(spark, d, other: str = "dense_flat") -> DataFrame:
+    per = _per_query(spark, d).where(F.col("retriever").isin("bm25", other))
+    both = per.groupBy("query_id").pivot("retriever", ["bm25", other]).agg(F.first("v"))
+    return materialize(both.select("query_id", F.col("bm25").alias("va"), F.col(other).alias("vb"), (F.col("bm25") - F.col(other)).alias("d")).where("d is not null"))
 
 
-_DRAWS = DIFFERENCES + f""",
-dr AS (SELECT s, ('0x' || substr(md5(s || '-' || i), 1, 8))::BIGINT % n AS pick FROM (SELECT i, n FROM diff), range(1, {SAMPLES + 1}) r(s)),
-means AS (SELECT s, avg(d) AS m FROM dr JOIN diff ON diff.i = dr.pick GROUP BY s)"""
+_HEX = "('0x' || substr(md5({key} || '-' || ((s - 1) // {block})), {first}, {digits}))::BIGINT"
+_DRAW = _HEX.format(key="query_id", block=8, first="4 * ((s - 1) % 8) + 1", digits=4)
+_COUNT = "CASE " + " ".join(f"WHEN x < {bound} THEN {k}" for k, bound in enumerate(S.POISSON)) + f" ELSE {len(S.POISSON)} END"
+_SIGN = "(CASE WHEN " + _HEX.format(key="query_id", block=128, first="((s - 1) % 128) // 4 + 1", digits=1) + " & (8 >> ((s - 1) % 4)) = 0 THEN 1.0 ELSE -1.0 END)"
+
+
+def _means(rows: str, value: str, groups: str = "") -> str:
+    """SQL of the resampled means ``m`` of a table with query_id."""
+    g = f"{groups}, " if groups else ""
+    return f"""means AS (SELECT {g}s, sum({_COUNT} * {value}) / sum({_COUNT}) AS m FROM (SELECT {g}s, {value}, {_DRAW} AS x FROM {rows}, range(1, {S.SAMPLES + 1}) r(s)) GROUP BY {g}s)"""
 
 
 @add("h01_query_metrics", f"WITH {PANEL} SELECT query_id, retriever, count(*) AS runs, round(avg(graded_ndcg_at_10), 6) AS ndcg, round(avg(mrr_at_10), 6) AS mrr FROM panel GROUP BY ALL")
@@ -38,85 +44,108 @@ def h01(spark, d):
 
 
 @add("h02_paired_bootstrap", f"""
-WITH {_DRAWS} SELECT round((SELECT avg(d) FROM diff), 6) AS mean, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high, (SELECT count(*) FROM diff) AS n FROM means""")
+WITH {DIFFERENCES}, {_means('diff', 'd')} SELECT round((SELECT avg(d) FROM diff), 6) AS mean, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high, (SELECT count(*) FROM diff) AS n FROM means""")
 def h02(spark, d):
-    out = S.bootstrap_interval(_diffs(spark, d), SAMPLES)
+    out = S.bootstrap_interval(_pair(spark, d), [], "query_id", "d")
     return out.select(F.round("mean", 6).alias("mean"), F.round("low", 6).alias("low"), F.round("high", 6).alias("high"), "n")
 
 
 @add("h03_bootstrap_mean", f"""
-WITH {DIFFERENCES}, dr AS (SELECT s, ('0x' || substr(md5(s || '-' || i), 1, 8))::BIGINT % n AS pick FROM (SELECT i, n FROM diff), range(1, {SAMPLES + 1}) r(s)), means AS (SELECT s, avg(va) AS m FROM dr JOIN diff ON diff.i = dr.pick GROUP BY s)
+WITH {DIFFERENCES}, {_means('diff', 'va')}
 SELECT round((SELECT avg(va) FROM diff), 6) AS mean, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM means""")
 def h03(spark, d):
-    out = S.bootstrap_interval(materialize(S.numbered(_pair(spark, d), "query_id", "va")), SAMPLES)
+    out = S.bootstrap_interval(_pair(spark, d), [], "query_id", "va")
     return out.select(F.round("mean", 6).alias("mean"), F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
 
 
 @add("h04_sign_flip", f"""
-WITH {DIFFERENCES}, m AS (SELECT s, avg(CASE WHEN ('0x' || substr(md5(s || '-' || i), 1, 8))::BIGINT % 2 = 0 THEN d ELSE -d END) AS m FROM diff, range(1, {SAMPLES + 1}) r(s) GROUP BY s)
-SELECT round((SELECT avg(d) FROM diff), 6) AS observed, round((sum(CASE WHEN abs(m) >= abs((SELECT avg(d) FROM diff)) - 1e-15 THEN 1 ELSE 0 END) + 1) / {SAMPLES + 1}.0, 6) AS p FROM m""")
+WITH {DIFFERENCES}, m AS (SELECT s, avg({_SIGN} * d) AS m FROM diff, range(1, {S.SAMPLES + 1}) r(s) GROUP BY s)
+SELECT round((SELECT avg(d) FROM diff), 6) AS observed, round((sum(CASE WHEN abs(m) >= abs((SELECT avg(d) FROM diff)) - 1e-12 THEN 1 ELSE 0 END) + 1) / {S.SAMPLES + 1}.0, 6) AS p FROM m""")
 def h04(spark, d):
-    return S.sign_flip(_diffs(spark, d), SAMPLES).select(F.round("observed", 6).alias("observed"), F.round("p", 6).alias("p"))
+    return S.sign_flip(_pair(spark, d), [], "query_id", "d").select(F.round("observed", 6).alias("observed"), F.round("p", 6).alias("p"))
+
+
+def _signs_sql(rows: str, groups: str) -> str:
+    """Exact one-sided p by adding one difference after the other to the table of sums: units of 1e-4."""
+    return f"""
+uu AS (SELECT {groups}, CAST(floor(d * 10000 + 0.5) AS BIGINT) AS u FROM {rows}),
+zz AS (SELECT {groups}, abs(u) AS size, row_number() OVER (PARTITION BY {groups} ORDER BY abs(u), u) AS i FROM uu WHERE u <> 0),
+tt AS (SELECT {groups}, sum(u) AS observed, count(CASE WHEN u <> 0 THEN 1 END) AS nonzero, sum(abs(u)) AS whole FROM uu GROUP BY ALL),
+st AS (SELECT {groups}, CAST(0 AS BIGINT) AS i, CAST(0 AS HUGEINT) AS k, CAST(1 AS DOUBLE) AS p FROM tt
+ UNION ALL SELECT {groups}, i, k, sum(p) / 2 FROM (SELECT st.{groups}, st.i + 1 AS i, st.k + x.f * zz.size AS k, st.p FROM st JOIN zz ON st.{groups} = zz.{groups} AND zz.i = st.i + 1, (VALUES (0), (1)) x(f)) GROUP BY ALL),
+pv AS (SELECT tt.{groups}, coalesce(sum(CASE WHEN st.k <= (whole - observed) // 2 THEN st.p END), 0) AS p FROM tt JOIN st ON st.{groups} = tt.{groups} AND st.i = tt.nonzero GROUP BY ALL)"""
 
 
 @add("h05_exact_signs", f"""
-WITH {PANEL}, pc AS (SELECT query_id, retriever, round(avg(graded_ndcg_at_10), 6) AS v FROM panel GROUP BY ALL), z AS (SELECT a.v - b.v AS d FROM pc a JOIN pc b USING (query_id) WHERE a.retriever = 'bm25' AND b.retriever = 'entity_graph'),
-n AS (SELECT count(CASE WHEN d > 0 THEN 1 END) AS w, count(CASE WHEN d < 0 THEN 1 END) AS l FROM z)
-SELECT w AS wins, l AS losses, round(least(1.0, (SELECT sum(exp(lgamma(w + l + 1.0) - lgamma(j + 1.0) - lgamma(w + l - j + 1.0) - (w + l) * ln(2))) FROM range(w, w + l + 1) r(j))), 6) AS p FROM n""")
+WITH RECURSIVE {DIFFERENCES}, own AS (SELECT 'dense_flat' AS system, query_id, round(va, 6) - round(vb, 6) AS d FROM diff), {_signs_sql('own', 'system')}
+SELECT (SELECT count(*) FROM own) AS n, nonzero, round((SELECT avg(d) FROM own), 6) AS effect, round(p, 6) AS p FROM pv JOIN tt USING (system)""")
 def h05(spark, d):
-    """Over all queries; the enumeration of unequal differences is in the operator ``exact_signs``."""
-    per = panel(spark, d).groupBy("query_id", "retriever").agg(F.round(F.avg("graded_ndcg_at_10"), 6).alias("v"))
-    a = per.where("retriever = 'bm25'").select("query_id", F.col("v").alias("va"))
-    b = per.where("retriever = 'entity_graph'").select("query_id", F.col("v").alias("vb"))
-    return S.exact_win_loss(a.join(b, "query_id").withColumn("d", F.col("va") - F.col("vb"))).withColumn("p", F.round("p", 6))
+    """Every sign vector of all nonzero differences counts; SQL adds the differences one by one instead."""
+    own = _pair(spark, d).withColumn("d", F.round("va", 6) - F.round("vb", 6))
+    return S.exact_signs(own, [], "d").select("n", "nonzero", F.round("effect", 6).alias("effect"), F.round("p", 6).alias("p"))
 
 
 @add("h06_noninferiority", f"""
-WITH {_DRAWS} SELECT round(quantile_cont(m, 0.05), 6) AS bound, quantile_cont(m, 0.05) >= -0.05 AND (SELECT avg(d) FROM diff) >= -0.05 AS noninferior FROM means""")
+WITH {DIFFERENCES}, {_means('diff', 'd')} SELECT round(quantile_cont(m, 0.05), 6) AS bound, quantile_cont(m, 0.05) >= -0.05 AND (SELECT avg(d) FROM diff) >= -0.05 AS noninferior FROM means""")
 def h06(spark, d):
-    out = S.bootstrap_interval(_diffs(spark, d), SAMPLES, 0.05, 0.95)
+    out = S.bootstrap_interval(_pair(spark, d), [], "query_id", "d", low=0.05, high=0.95)
     return out.select(F.round("low", 6).alias("bound"), ((F.col("low") >= -0.05) & (F.col("mean") >= -0.05)).alias("noninferior"))
 
 
-_TESTS = f"""{PANEL}, pe AS (SELECT query_id, retriever, avg(graded_ndcg_at_10) AS v FROM panel GROUP BY ALL),
-dd AS (SELECT b.retriever AS system, a.query_id, a.v - b.v AS d, row_number() OVER (PARTITION BY b.retriever ORDER BY a.query_id) - 1 AS i FROM pe a JOIN pe b ON a.query_id = b.query_id AND a.retriever = 'bm25' AND b.retriever <> 'bm25'),
-mm AS (SELECT system, s, avg(CASE WHEN ('0x' || substr(md5(s || '-' || i), 1, 8))::BIGINT % 2 = 0 THEN d ELSE -d END) AS m FROM dd, range(1, {SAMPLES + 1}) r(s) GROUP BY ALL),
-ob AS (SELECT system, avg(d) AS observed FROM dd GROUP BY system),
-pp AS (SELECT system, max(observed) AS observed, (sum(CASE WHEN abs(m) >= abs(observed) - 1e-15 THEN 1 ELSE 0 END) + 1) / {SAMPLES + 1}.0 AS p FROM mm JOIN ob USING (system) GROUP BY system)"""
-
-
-def _tests(spark, d) -> DataFrame:
-    p = materialize(panel(spark, d).groupBy("query_id", "retriever").agg(F.avg("graded_ndcg_at_10").alias("v")))
-    base = p.where("retriever = 'bm25'").select("query_id", F.col("v").alias("va"))
-    dd = p.where("retriever <> 'bm25'").join(base, "query_id").withColumn("d", F.col("va") - F.col("v"))
-    dd = dd.withColumn("i", F.row_number().over(Window.partitionBy("retriever").orderBy("query_id")) - 1)
-    sign = F.when(S.hash_draw(F.col("s"), F.col("i")) % 2 == 0, F.col("d")).otherwise(-F.col("d"))
-    means = S.each_sample(dd, SAMPLES).groupBy("retriever", "s").agg(F.avg(sign).alias("m"))
-    seen = dd.groupBy("retriever").agg(F.avg("d").alias("observed"))
-    extreme = (F.abs("m") >= F.abs("observed") - 1e-15).cast("long")
-    return means.join(seen, "retriever").groupBy(F.col("retriever").alias("system")).agg(F.max("observed").alias("observed"), ((F.sum(extreme) + 1) / F.lit(SAMPLES + 1.0)).alias("p"))
-
-
 @add("h07_holm", f"""
-WITH {_TESTS}, st AS (SELECT *, least(1.0, (count(*) OVER () - row_number() OVER (ORDER BY p, system) + 1) * p) AS step FROM pp)
+WITH {PANEL}, pe AS (SELECT query_id, retriever, avg(graded_ndcg_at_10) AS v FROM panel GROUP BY ALL),
+dd AS (SELECT b.retriever AS system, a.query_id, a.v - b.v AS d FROM pe a JOIN pe b ON a.query_id = b.query_id AND a.retriever = 'bm25' AND b.retriever <> 'bm25'),
+mm AS (SELECT system, s, avg({_SIGN} * d) AS m FROM dd, range(1, {S.SAMPLES + 1}) r(s) GROUP BY ALL), ob AS (SELECT system, avg(d) AS observed FROM dd GROUP BY system),
+pp AS (SELECT system, (sum(CASE WHEN abs(m) >= abs(observed) - 1e-12 THEN 1 ELSE 0 END) + 1) / {S.SAMPLES + 1}.0 AS p FROM mm JOIN ob USING (system) GROUP BY system),
+st AS (SELECT *, least(1.0, (count(*) OVER () - row_number() OVER (ORDER BY p, system) + 1) * p) AS step FROM pp)
 SELECT system, round(p, 6) AS p, round(max(step) OVER (ORDER BY p, system ROWS UNBOUNDED PRECEDING), 6) AS adjusted FROM st""")
 def h07(spark, d):
-    return S.holm(_tests(spark, d), "system", "p").select("system", F.round("p", 6).alias("p"), F.round("adjusted", 6).alias("adjusted"))
+    per = materialize(_per_query(spark, d))
+    base = per.where("retriever = 'bm25'").select("query_id", F.col("v").alias("va"))
+    dd = materialize(per.where("retriever <> 'bm25'").join(base, "query_id").select(F.col("retriever").alias("system"), "query_id", (F.col("va") - F.col("v")).alias("d")))
+    return S.holm(S.sign_flip(dd, ["system"], "query_id", "d"), "system", "p").select("system", F.round("p", 6).alias("p"), F.round("adjusted", 6).alias("adjusted"))
 
 
 @add("h08_equivalence", f"""
-WITH {_DRAWS}, ci AS (SELECT quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM means)
+WITH {DIFFERENCES}, {_means('diff', 'd')}, ci AS (SELECT quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM means)
 SELECT margin, low > -margin AND high < margin AS equivalent FROM ci, (VALUES (CAST(0.03 AS DOUBLE)), (CAST(0.05 AS DOUBLE))) v(margin)""")
 def h08(spark, d):
-    ci = S.bootstrap_interval(_diffs(spark, d), SAMPLES)
+    ci = S.bootstrap_interval(_pair(spark, d), [], "query_id", "d")
     return ci.select(F.explode(F.array(F.lit(0.03), F.lit(0.05))).alias("margin"), "low", "high").select("margin", ((F.col("low") > -F.col("margin")) & (F.col("high") < F.col("margin"))).alias("equivalent"))
 
 
+#: The directional family: hypothesis, slice, left, right, metric; 12 + 16 + 4 tests.
+FAMILY = (
+    [("H2", "paraphrase", "dense_flat", "bm25", m) for m in METRIC_COLUMNS]
+    + [("H3", c, "entity_graph", r, m) for c in ("entity_relation", "multi_hop") for r in ("bm25", "dense_flat") for m in ("mrr_at_10", "recall_at_10", "graded_ndcg_at_10", "complete_evidence_recall_at_10")]
+    + [("H4", "aggregate", "hybrid_rrf", r, "mrr_at_10") for r in ("bm25", "dense_flat", "entity_graph", "prompt_rag")]
+)
+_FAMILY_SQL = ", ".join(f"({i}, '{h}', '{c}', '{a}', '{b}', '{m}')" for i, (h, c, a, b, m) in enumerate(FAMILY))
+
+
 @add("h09_directional_family", f"""
-WITH {_TESTS} SELECT system, round(observed, 6) AS effect, CASE WHEN p > 0.05 THEN 'inconclusive' WHEN observed > 0 THEN 'baseline_better' ELSE 'system_better' END AS verdict FROM pp""")
+WITH RECURSIVE {PANEL}, {CATEGORY_SQL}, fam AS (SELECT * FROM (VALUES {_FAMILY_SQL}) v(test, hypothesis, slice, lhs, rhs, metric)),
+pm AS (SELECT query_id, retriever, {', '.join(f'round(avg({m}), 6) AS {m}' for m in METRIC_COLUMNS)} FROM panel GROUP BY ALL), lo AS (UNPIVOT pm ON {', '.join(METRIC_COLUMNS)} INTO NAME metric VALUE v),
+pr AS (SELECT test, a.query_id, a.v - b.v AS d FROM fam JOIN lo a ON a.retriever = lhs AND a.metric = fam.metric JOIN lo b ON b.retriever = rhs AND b.metric = fam.metric AND b.query_id = a.query_id LEFT JOIN category c ON c.query_id = a.query_id WHERE slice IN ('aggregate', coalesce(c.category, 'unknown'))),
+{_signs_sql('pr', 'test')}, {_means('pr', 'd', 'test')},
+lw AS (SELECT test, quantile_cont(m, 0.025) AS low FROM means WHERE NOT isnan(m) GROUP BY test), ef AS (SELECT test, count(*) AS n, avg(d) AS effect FROM pr GROUP BY test),
+al AS (SELECT fam.test, coalesce(n, 0) AS n, effect, low, coalesce(p, 1.0) AS p FROM fam LEFT JOIN ef USING (test) LEFT JOIN pv USING (test) LEFT JOIN lw USING (test)),
+sp AS (SELECT *, least(1.0, (32 - row_number() OVER (ORDER BY round(p, 9), test) + 1) * p) AS step FROM al), ad AS (SELECT *, max(step) OVER (ORDER BY round(p, 9), test ROWS UNBOUNDED PRECEDING) AS adjusted FROM sp)
+SELECT hypothesis, slice, lhs || '_minus_' || rhs AS comparison, metric, n, round(effect, 6) AS effect, round(low, 6) AS low, round(p, 6) AS p, round(adjusted, 6) AS adjusted, coalesce(effect > 0 AND low > 0 AND adjusted <= 0.05, false) AS rule_met FROM ad JOIN fam USING (test)""")
 def h09(spark, d):
-    verdict = F.when(F.col("p") > 0.05, "inconclusive").when(F.col("observed") > 0, "baseline_better").otherwise("system_better")
-    return _tests(spark, d).select("system", F.round("observed", 6).alias("effect"), verdict.alias("verdict"))
+    fam = spark.createDataFrame([(i, *t) for i, t in enumerate(FAMILY)], "test int, hypothesis string, slice string, lhs string, rhs string, metric string")
+    per = panel(spark, d).groupBy("query_id", "retriever").agg(*[F.round(F.avg(m), 6).alias(m) for m in METRIC_COLUMNS])
+    long = per.unpivot(["query_id", "retriever"], list(METRIC_COLUMNS), "metric", "v").join(query_categories(spark, d), "query_id", "left")
+    long = materialize(long.select("query_id", "retriever", "metric", "v", F.coalesce("category", F.lit("unknown")).alias("category")))
+    spec = F.broadcast(fam.select("test", "slice", F.col("lhs").alias("retriever"), "rhs", "metric"))
+    left = long.join(spec, ["retriever", "metric"]).where("slice in ('aggregate', category)").select("test", "query_id", "rhs", F.col("metric").alias("m"), "v")
+    right = long.select("query_id", F.col("retriever").alias("rhs"), F.col("metric").alias("m"), F.col("v").alias("v2"))
+    pairs = materialize(left.join(right, ["query_id", "rhs", "m"]).select("test", "query_id", (F.col("v") - F.col("v2")).alias("d")))
+    exact, spread = S.exact_signs(pairs, ["test"], "d"), S.bootstrap_interval(pairs, ["test"], "query_id", "d").select("test", "low")
+    every = fam.join(exact, "test", "left").join(spread, "test", "left").select(*fam.columns, F.coalesce("n", F.lit(0)).alias("n"), "effect", "low", F.coalesce("p", F.lit(1.0)).alias("p"), F.round(F.coalesce("p", F.lit(1.0)), 9).alias("__p"))
+    adjusted = S.holm(every.withColumn("__t", F.col("test")), "__t", "__p")
+    met = F.coalesce((F.col("effect") > 0) & (F.col("low") > 0) & (F.col("adjusted") <= 0.05), F.lit(False))
+    return adjusted.select("hypothesis", "slice", F.concat("lhs", F.lit("_minus_"), "rhs").alias("comparison"), "metric", "n", *[F.round(c, 6).alias(c) for c in ("effect", "low", "p", "adjusted")], met.alias("rule_met"))
 
 
 @add("h10_strongest_comparator", f"""
@@ -136,8 +165,8 @@ pick AS (SELECT fold, retriever FROM tr QUALIFY row_number() OVER (PARTITION BY
 SELECT CAST(p.fold AS INT) AS fold, p.retriever, count(*) AS queries, round(avg(v.v), 6) AS held_out FROM pick p JOIN f ON f.fold = p.fold JOIN v ON v.query_id = f.query_id AND v.retriever = p.retriever GROUP BY ALL""")
 def h11(spark, d):
     v = materialize(panel(spark, d).groupBy("query_id", "retriever").agg(F.avg("graded_ndcg_at_10").alias("v")))
-    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.sha2(F.concat(F.lit("fold:"), "query_id"), 256), "query_id"))
-    folds = v.select("query_id").distinct().select("query_id", ((place - 1) % 5).alias("fold"))
+    hashed = v.select("query_id").distinct().withColumn("sha", F.sha2(F.concat(F.lit("fold:"), "query_id"), 256))
+    folds = materialize(running_sum(hashed, ["sha", "query_id"], F.lit(1).cast("long"), "place").select("query_id", ((F.col("place") - 1) % 5).cast("int").alias("fold")))
     # a fold's training mean = all queries but its own, from sums: no query is repeated for each fold
     own = v.join(folds, "query_id").groupBy("fold", "retriever").agg(F.sum("v").alias("s"), F.count(F.lit(1)).alias("n"))
     whole = own.groupBy("retriever").agg(F.sum("s").alias("ts"), F.sum("n").alias("tn"))

@@ -121,10 +121,15 @@ def read_qrels(spark: SparkSession, path: str, strict: bool = False) -> DataFram
     return raw.where(ok).withColumn("relevance", F.trim("relevance").cast("int"))
 
 
-def write_runs(ranked: DataFrame, path: str, depth: int = 1000) -> None:
-    """One JSON object per ranked list, results nested in rank order; a list holds at most ``depth`` results."""
+def write_runs(ranked: DataFrame, path: str, depth: int | None = None, block: int = 1000) -> None:
+    """JSON objects of a ranked list with its results nested in rank order, all of them unless ``depth`` is given.
+
+    A list of more than ``block`` results is written as several objects, so that no row grows without bound.
+    """
+    kept = ranked if depth is None else ranked.where(F.col("rank") <= depth)
+    part = F.floor((F.col("rank") - 1) / F.lit(block)).alias("part")
     item = F.struct("rank", "chunk_id", "score")
-    lists = ranked.where(F.col("rank") <= depth).groupBy("run_id", "query_id", "retriever").agg(F.array_sort(F.collect_list(item)).alias("results"))
+    lists = kept.groupBy("run_id", "query_id", "retriever", part).agg(F.array_sort(F.collect_list(item)).alias("results"))
     lists.write.mode("errorifexists").json(path)
 
 

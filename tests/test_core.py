@@ -1,5 +1,6 @@
 """Hand-computed cases and brute force for the core operators."""
 
+import itertools
 import math
 import random
 
@@ -54,11 +55,32 @@ def test_rrf(spark):
 def test_holm_and_exact_signs(spark):
     df = spark.createDataFrame([("a", 0.01), ("b", 0.02), ("c", 0.5)], "t string, p double")
     assert [round(r["adjusted"], 6) for r in stats.holm(df, "t", "p").orderBy("p").collect()] == [0.03, 0.04, 0.5]
-    d = stats.numbered(spark.createDataFrame([(f"q{i}", v) for i, v in enumerate([1.0, 1.0, 1.0, 0.0])], "q string, d double"), "q", "d")
-    out = stats.exact_signs(d).first()
-    assert out["vectors"] == 8 and out["p"] == pytest.approx(1 / 8)
-    assert tuple(stats.exact_win_loss(d).first()) == (3, 0, pytest.approx(1 / 8))
-    assert stats.exact_win_loss(d.limit(0)).first()["p"] == pytest.approx(1.0)
+
+
+def _exact(values):
+    nonzero = [v for v in values if v]
+    sums = [sum(a * v for a, v in zip(signs, nonzero)) for signs in itertools.product((-1, 1), repeat=len(nonzero))]
+    return sum(t >= sum(nonzero) - 1e-9 for t in sums) / len(sums)
+
+
+def test_exact_signs_against_all_vectors(spark):
+    groups = {"a": [0.5, -0.25, 0.125, 0.0, 0.0625, 0.3, None], "b": [1.0, 1.0, 1.0, 0.0], "c": [0.0, 0.0], "d": [-0.2, 0.2, -0.5, 0.1, 0.1, 0.1, 0.7, 0.9, 0.01, -0.03, 0.25, 0.25], None: [0.4]}
+    df = spark.createDataFrame([(g, v, 1) for g, vs in groups.items() for v in vs], "g string, d double, test int")
+    out = {r["g"]: r for r in stats.exact_signs(df, ["g"], "d").collect()}
+    assert {g: r["p"] for g, r in out.items()} == {g: pytest.approx(_exact([v for v in vs if v is not None]), abs=1e-9) for g, vs in groups.items()}
+    assert (out["a"]["n"], out["a"]["nonzero"]) == (6, 5)
+    many = spark.createDataFrame([(0.5,)] * 60 + [(-0.5,)] * 40, "d double")
+    assert stats.exact_signs(many, [], "d").first()["p"] == pytest.approx(sum(math.comb(100, k) for k in range(60, 101)) / 2**100, abs=1e-9)
+    assert stats.exact_signs(df.limit(0), ["g"], "d").count() == 0
+
+
+def test_resamples(spark):
+    df = spark.createDataFrame([(f"q{i}", i % 2, float(i % 5)) for i in range(400)] + [("x", 0, None)], "q string, g int, d double")
+    out = {r["g"]: r for r in stats.bootstrap_interval(df, ["g"], "q", "d", 500).collect()}
+    assert out[0]["n"] == 200 and out[0]["mean"] == 2.0 and out[0]["low"] == pytest.approx(2 - 1.96 * 0.1, abs=0.05) and out[0]["high"] == pytest.approx(2 + 1.96 * 0.1, abs=0.05)
+    flip = stats.sign_flip(spark.createDataFrame([(f"q{i}", 1.0 if i < 55 else -1.0) for i in range(100)], "q string, d double"), [], "q", "d", 2000).first()
+    assert flip["observed"] == pytest.approx(0.1) and flip["p"] == pytest.approx(0.368, abs=0.05)
+    assert stats.bootstrap_interval(df.limit(0), ["g"], "q", "d", 50).count() == 0
 
 
 def test_kappa(spark):
@@ -190,11 +212,19 @@ def test_phrase_spans(spark):
         assert r["excerpt"] == " ".join(texts[k][max(0, r["char_start"] - 110) : r["char_end"] + 150].split())
 
 
+def test_one_match_for_each_entity(spark):
+    texts = spark.createDataFrame([("q", "a b c a b b c")], "k string, t string")
+    phrases = spark.createDataFrame([("a b", "x"), ("b c", "y"), ("a b c", "x"), ("c", "z")], "p string, e string")
+    hits = graph.phrase_occurrences(texts, "k", "t", phrases, "p").join(phrases.withColumnRenamed("p", "phrase"), "phrase")
+    assert rows(graph.longest_matches(hits, "k", "e")) == [("q", "x", "a b c", 0, 3), ("q", "y", "b c", 5, 2)]
+    assert graph.longest_matches(hits.limit(0), "k", "e").count() == 0
+
+
 def test_longest_match(spark):
     texts = spark.createDataFrame([("q", "the urban water scheme of the state"), ("r", None)], "k string, t string")
-    phrases = spark.createDataFrame([("urban water",), ("urban water scheme",), ("water",), ("the state",), ("sch",)], "p string")
+    phrases = spark.createDataFrame([("urban water",), ("urban water scheme",), ("water",), ("the state",), ("sch",), ("no " * 40 + "end",), ("",), (None,)], "p string")
     hits = graph.phrase_occurrences(texts, "k", "t", phrases, "p")
-    assert rows(graph.longest_matches(hits, "k", 4).select("phrase")) == [("the state",), ("urban water scheme",)]
+    assert rows(graph.longest_matches(hits.withColumn("e", F.col("phrase")), "k", "e").select("phrase")) == [("the state",), ("urban water scheme",)]
 
 
 def test_bm25_against_formula(spark):
