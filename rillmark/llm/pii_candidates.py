@@ -47,9 +47,8 @@ _EMAILS = (
 )
 #: Cheap signs of a candidate; the patterns run only around them.
 _EMAIL_SIGN = re.compile(r"@|[\[(]\s?[aA][tT]\s?[\])]|\s[dD][oO][tT]\s")
-_SPELLED = re.compile(r"\s[dD][oO][tT]\s")
 _NUMBER_SIGN = re.compile(r"\d[\d\s./()+-]{5,}\d")
-_PAN_SIGN = re.compile(r"[A-Za-z]\d{4}[A-Za-z](?!\w)")
+_PAN_SIGN = re.compile(r"\d{4}(?<=[A-Za-z]\d{4})[A-Za-z](?!\w)")
 _S = r"[\s.-]?"
 _PHONES = (
     re.compile(rf"(?<![\w/])\+\d{{1,3}}{_S}\d{{5}}{_S}\d{{5}}(?!\d)"),
@@ -69,9 +68,9 @@ _IDS = (
     re.compile(rf"(?<!\w)[A-Z]{{2}}{_S}\d{{2}}{_S}\d{{4}}{_S}\d{{7}}(?!\w)", re.I),
 )
 # A house number with what follows it, and the designation that may stand before it.
-_HOUSE = re.compile(r"(?<![\w/.,-])(?:[A-Z]-?)?\d{1,5}(?:[/-]?\w{1,4}){0,3}(?=,?\s+[^\W\d_a-z]|,[A-Z]|,\s+\d[\w/-]*[\s,]+[A-Z])")
+_HOUSE = re.compile(r"\d(?<![\w/.,]\d)(?<!\w-\d)\d{0,4}(?:[/-]?\w{1,4}){0,3}(?=,?\s+[^\W\d_a-z]|,[A-Z]|,\s+\d[\w/-]*[\s,]+[A-Z])")
 _DESIGNATION = re.compile(
-    r"(?:\b(?:H\.?\s?No\.?|House(?:\s+No\.?)?|Flat(?:\s+No\.?)?|Plot(?:\s+No\.?)?|Door(?:\s+No\.?)?|Street(?:\s+No\.?)?|Apartment|Apt\.?|Shop(?:\s+No\.?)?|Room|Unit|Block|Building|Villa|Quarter|No\.)|#|मकान(?:\s+नं\.?|\s+संख्या)?|घर|फ्लैट|प्लॉट)\s?$"
+    r"(?:\b(?:H\.?\s?No\.?|House(?:\s+No\.?)?|Flat(?:\s+No\.?)?|Plot(?:\s+No\.?)?|Door(?:\s+No\.?)?|Street(?:\s+No\.?)?|Apartment|Apt\.?|Shop(?:\s+No\.?)?|Room|Unit|Block|Building|Villa|Quarter|No\.)|#|मकान(?:\s+नं\.?|\s+संख्या)?|घर|फ्लैट|प्लॉट)\s?(?:[A-Z]-)?$"
 )
 _PART = r"(?:[A-Z#][\w.'/-]*|\d[\w/-]*|[^\W\d_a-zA-Z]\S*)"
 _REST = re.compile(rf"(?:,?\s+(?:[A-Z][\w.'-]*\s+){{0,4}}[A-Z][\w.'-]*)?(?:,(?:\s+|(?=[A-Z])){_PART}(?:\s+{_PART}){{0,5}}){{1,9}}(?:\s?[-–]?\s?\d{{3}}\s?\d{{3}})?")
@@ -80,7 +79,7 @@ _POSTAL = re.compile(r"\d{3}\s?\d{3}(?!\d)")
 _UPPER = "A-ZÀ-ÖØ-ÞĀĂĄĆČĎĒĘĚĞĪİŁŃŇŌŐŒŘŚŞŠŤŪŮŰŹŻŽΑ-ΩА-Я"
 _WORD = rf"[{_UPPER}][^\W\d_]+(?:['’-][^\W\d_]+)*"
 _PIECE = rf"(?:{_WORD}|[{_UPPER}]\.|[{_UPPER}](?!\w))"
-_RUN = re.compile(rf"(?<![\w@.-]){_PIECE}(?:(?:,?\s{{1,3}}|(?<=\.)){_PIECE})+(?![\w@])")
+_RUN = re.compile(rf"[{_UPPER}](?<![\w@.-][{_UPPER}])(?:[^\W\d_]+(?:['’-][^\W\d_]+)*|\.|(?!\w))(?:(?:,?\s{{1,3}}|(?<=\.)){_PIECE})+(?![\w@])")
 _PIECES = re.compile(_PIECE)
 _SHAPES = {s: i for i, s in enumerate(("WW", "WIW", "IW", "IIW", "WWW", "WI", "WII", "WIIW", "IWW", "W,W", "W,WI", "W,WII", "W,IW"))}
 # Words of scripts without capitals: pairs of which one is a known name or follows a title or a cue.
@@ -161,7 +160,8 @@ Candidate = tuple[int, int, int, int, tuple | None]
 def candidates(text: str, lexicon: Lexicon) -> list[Candidate]:
     """Spans ``(start, end, type, generator, pieces)``; they overlap freely."""
     found: dict[tuple[int, int, int], tuple] = {}
-    if "@" in text or "]" in text or ")" in text or " dot " in text or " DOT " in text or _SPELLED.search(text):
+    low = lower(text)
+    if "@" in text or "dot" in low or "at]" in low or "at)" in low or "at ]" in low or "at )" in low:
         for a, b in _around(text, _EMAIL_SIGN, 70, 90):
             for g, p in enumerate(_EMAILS):
                 for m in p.finditer(text, a, b):
@@ -173,7 +173,7 @@ def candidates(text: str, lexicon: Lexicon) -> list[Candidate]:
                     if k == 2 or sum(map(str.isdigit, m.group())) >= 8:
                         found.setdefault((*m.span(), k), (g, None))
     for m in _PAN_SIGN.finditer(text):
-        for n in _IDS[1].finditer(text, max(0, m.start() - 4), m.end() + 3):
+        for n in _IDS[1].finditer(text, max(0, m.start() - 5), m.end() + 3):
             found.setdefault((*n.span(), 2), (1, None))
     until = 0
     for m in _HOUSE.finditer(text):
@@ -197,7 +197,7 @@ def candidates(text: str, lexicon: Lexicon) -> list[Candidate]:
                 continue
             fa, fb, t = lexicon.of(a.group()), lexicon.of(b.group()), lexicon.table
             known = t[fa, 0] or t[fa, 1] or t[fb, 0] or t[fb, 1]
-            if known or (i and lexicon.table[lexicon.of(words[i - 1].group()), _TITLE]) or _CUES["name"].match(lower(text[max(0, a.start() - 20) : a.start()])):
+            if known or (i and lexicon.table[lexicon.of(words[i - 1].group()), _TITLE]) or _CUES["name"].match(low[max(0, a.start() - 20) : a.start()]):
                 found.setdefault((a.start(), b.end(), 4), (len(_SHAPES), ((a, b), (), ())))
     return [(s, e, k, g, pieces) for (s, e, k), (g, pieces) in found.items()]
 
@@ -220,10 +220,10 @@ def _sub_runs(text: str, run: re.Match) -> Iterator[tuple[int, int, int, tuple]]
 
 
 def _around(text: str, sign: re.Pattern, before: int, after: int, digits: int = 0) -> list[list[int]]:
-    """Joined stretches of the text around every sign that has so many digits."""
+    """Joined stretches of the text around every sign; with ``digits`` of every one that has so many and is no date."""
     out: list[list[int]] = []
     for m in sign.finditer(text):
-        if digits and sum(map(str.isdigit, m.group())) < digits:
+        if digits and (sum(map(str.isdigit, m.group())) < digits or _DATE.match(m.group())):
             continue
         a, b = max(0, m.start() - before), min(len(text), m.end() + after)
         if out and a <= out[-1][1]:
