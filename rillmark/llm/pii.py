@@ -29,6 +29,8 @@ SAMPLE_NAMES = 5000
 #: Most bits of the filter of all known names of a kind (32 MB); 32 bits a name as long as they suffice.
 MOST_BITS = 1 << 28
 _PROBES = 7
+#: Texts judged at once in a task.
+SLICE = 500
 
 
 class KnownTokens:
@@ -177,7 +179,9 @@ def _apply(df: DataFrame, doc_col: str, text_col: str, known_names: DataFrame, m
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         detector = pickle.loads(shared.value)
         for b in batches:
-            yield make(b, detector.spans(list(b["text"])))
+            texts = list(b["text"])  # a slice at a time, as candidates and features take more room than texts
+            found = [f for i in range(0, len(texts), SLICE) for f in detector.spans(texts[i : i + SLICE])]
+            yield make(b, found)
 
     return with_package(rows).mapInPandas(run, f"doc {rows.schema['doc'].dataType.simpleString()}, {schema}").withColumnRenamed("doc", doc_col)
 
