@@ -75,9 +75,19 @@ def test_odd_sketch_bound_passes_pairs_at_the_threshold():
     assert (1 - p.similarity**p.rows) ** p.bands < 1e-6
 
 
-@pytest.mark.parametrize("limit", [0, 1_000_000])
-def test_leakage_matches_brute_force(spark, monkeypatch, limit):
-    monkeypatch.setattr(leakage, "BROADCAST_FINGERPRINTS", limit)
+@pytest.mark.parametrize("bits,broadcast", [(1 << 28, "10MB"), (64, "-1")])
+def test_leakage_matches_brute_force(spark, monkeypatch, bits, broadcast):
+    """Also with a filter that is full and a join by shuffle."""
+    monkeypatch.setattr(leakage, "MOST_BITS", bits)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    try:
+        _leakage(spark)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def _leakage(spark):
     rng = random.Random(9)
     word = lambda: rng.choice("abcdefghij") + str(rng.randint(0, 25))
     passages = [(i % 9, " ".join(word() for _ in range(rng.randint(8, 30)))) for i in range(18)] + [(20, None), (21, ""), (22, "a0 a0 a0 a0 a0 a0 a0 a0 a0 a0 a0 a0")]
@@ -106,6 +116,23 @@ def test_leakage_matches_brute_force(spark, monkeypatch, limit):
     items = spark.createDataFrame(passages, "item_id long, passage string")
     got = {tuple(r) for r in leakage.leaked_items(df, "doc_id", "text", items, "item_id", "passage").collect()}
     assert got == want and len(want) > 20
+    keyed = df.where("doc_id <> 503")
+    numbered = spark.createDataFrame([(i, n, p) for n, (i, p) in enumerate(passages)], "item_id long, n long, passage string")
+    spans = leakage.leaked_spans(keyed, "doc_id", "text", numbered, "item_id", "n", "passage").collect()
+    word_of = {d: WORD.findall((t or "").lower()) for d, t in docs if d != 503}
+    passage_of = [WORD.findall((p or "").lower()) for _, p in passages]
+    runs = set()
+    for d, w in word_of.items():
+        for n, q in enumerate(passage_of):
+            for a in range(len(w)):
+                for b in range(len(q)):
+                    if w[a] == q[b] and not (a and b and w[a - 1] == q[b - 1]):
+                        k = 0
+                        while a + k < len(w) and b + k < len(q) and w[a + k] == q[b + k]:
+                            k += 1
+                        if k >= 12:
+                            runs.add((d, passages[n][0], n, a, b, k))
+    assert {(r["doc_id"], r["item_id"], r["n"], r["start_word"], r["passage_word"], r["words"]) for r in spans} == runs and len(runs) == len(spans)
     assert leakage.leaked_items(df.limit(0), "doc_id", "text", items, "item_id", "passage").count() == 0
     assert leakage.leaked_items(df, "doc_id", "text", items.limit(0), "item_id", "passage").count() == 0
 
