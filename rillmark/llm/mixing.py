@@ -7,11 +7,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rillmark.functions.ranking import row_number_in_groups
-from rillmark.session import materialize, with_package
+from rillmark.session import materialize, with_file, with_package
 
 #: Where the public vocabulary files lie, unless a path is given.
 TOKENIZER = os.environ.get("RILLMARK_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.tiktoken")
@@ -36,13 +37,15 @@ def _encoder(path: str):
 def count_tokens(df: DataFrame, key_col: str, source_col: str, text_col: str, path: str = TOKENIZER) -> DataFrame:
     """``doc_key``, ``source`` (lower case, no surrounding blanks), ``tokens`` of every row.
 
-    Null and empty texts have 0 tokens; a null source stays null.
+    The vocabulary file ``path`` lies where the driver runs and is sent to the tasks. Null and empty texts have 0 tokens; a null source stays null.
     """
     source = F.regexp_replace(F.lower(source_col), r"\A\p{IsWhite_Space}+|\p{IsWhite_Space}+\z", "")
     rows = df.select(F.col(key_col).alias("doc_key"), source.alias("source"), F.col(text_col).alias("text"))
 
+    name = with_file(rows, path)
+
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = _encoder(path).encode_ordinary
+        encode = _encoder(SparkFiles.get(name)).encode_ordinary
         for b in batches:
             tokens = [len(encode(t)) if t else 0 for t in b.pop("text")]
             yield b.assign(tokens=np.array(tokens, dtype="int64"))

@@ -39,7 +39,16 @@ def p1_found(spark, sf_dir):
     return pairs.select(_kind("row_a"), _row("row_a"), _row("row_b"))
 
 
-@add("p1_groups")
+_GROUP = r"""
+{k}c AS (SELECT k, min(k) OVER (PARTITION BY array_to_string(w, ' ')) AS rep, count(*) OVER (PARTITION BY array_to_string(w, ' ')) AS copies FROM {k}t WHERE len(w) > 0),
+{k}l AS (SELECT row_a AS a, row_b AS b FROM {k}p JOIN {k}c x ON x.k = row_a AND x.rep = row_a JOIN {k}c y ON y.k = row_b AND y.rep = row_b WHERE 5 * shared >= 4 * (na + nb - shared)),
+{k}b AS (SELECT a, b FROM {k}l UNION ALL SELECT b, a FROM {k}l),
+{k}r(a, b) AS (SELECT a, b FROM {k}b UNION SELECT {k}r.a, {k}b.b FROM {k}r JOIN {k}b ON {k}b.a = {k}r.b),
+{k}g AS (SELECT c.k AS key, c.rep, c.copies, coalesce((SELECT count(*) FROM {k}b WHERE a = c.rep), 0) AS links, least(c.rep, coalesce((SELECT min(b) FROM {k}r WHERE a = c.rep), c.rep)) AS group_key FROM {k}c c)"""
+_GROUPS = ",".join(_GROUP.format(k=kind[0]) for kind, _, _ in RECORDS)
+
+
+@add("p1_groups", f"WITH RECURSIVE {_PAIRS}, {_GROUPS} SELECT 'document' AS record_kind, * FROM dg UNION ALL SELECT 'chunk', * FROM cg")
 def p1_groups(spark, sf_dir):
     rows = near_duplicates.similarity_groups(*_linked(spark, sf_dir))
     return rows.select(_kind("key"), _row("key"), _row("rep"), "copies", "links", _row("group_key"))
