@@ -6,7 +6,7 @@ from rillmark.plans import Registry
 
 REGISTRY = Registry()
 
-MODULES = ("text_queries", "metric_queries", "corpus_queries", "retrieval_queries", "stat_queries", "benchmark_queries", "relational_queries", "source_queries", "more_queries")
+MODULES = ("text_queries", "metric_queries", "corpus_queries", "retrieval_queries", "stat_queries", "benchmark_queries", "relational_queries", "source_queries", "more_queries", "entity_queries")
 
 
 def load() -> None:

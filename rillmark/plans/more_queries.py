@@ -49,12 +49,6 @@ def b10(spark, d):
     return hits.select("doc_id", F.col("phrase").alias("alias")).distinct()
 
 
-@add("f18_alias_evidence", f"WITH {_ALIASES} SELECT alias, count(*) AS documents, min(doc_id) AS first_doc FROM dn JOIN named ON contains(t, ' ' || alias || ' ') GROUP BY alias")
-def f18(spark, d):
-    hits = G.phrase_occurrences(table(spark, d, "documents"), "doc_id", "text", _aliases(spark, d), "alias").select("doc_id", "phrase").distinct()
-    return hits.groupBy(F.col("phrase").alias("alias")).agg(F.count(F.lit(1)).alias("documents"), F.min("doc_id").alias("first_doc"))
-
-
 @add("c38_alias_spans")
 def c38_spans(spark, d):
     """Every hit of every alias in documents, chunks and raw extracted texts (c38_phrase_occurrences has one phrase)."""

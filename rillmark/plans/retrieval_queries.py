@@ -163,15 +163,6 @@ def f10(spark, d):
     return R.top_k(G.hop_ranking(seeds, contains, co, "item_id", "doc_id"), "item_id", "doc_id", "score", 10).drop("seeds")
 
 
-@add("f21_graph_weighted", f"""
-WITH {_SEEDS}, {_HOPS}, sc AS (SELECT item_id, nearest.doc_id, round(sum((ln(((SELECT count(*) FROM documents) + 1.0) / (documents + 1)) + 1) * pow(0.5, hop)), 6) AS score
- FROM nearest JOIN fr ON fr.entity = seed GROUP BY ALL) {_TOP}""")
-def f21(spark, d):
-    seeds, contains, co, frequency = _walk(spark, d)
-    n = table(spark, d, "documents").count()
-    return R.top_k(G.weighted_hop_ranking(seeds, contains, co, frequency, n, "item_id", "doc_id"), "item_id", "doc_id", "score", 10).drop("seeds")
-
-
 @add("f09_alias_table", r"""
 WITH t AS (SELECT DISTINCT trim(regexp_replace(lower(title), '[^\p{L}\p{N}]+', ' ', 'g')) AS scheme FROM extracted_documents WHERE title IS NOT NULL),
 a AS (SELECT scheme AS alias, scheme FROM t UNION SELECT trim(regexp_replace(regexp_replace(scheme, '\b(?:scheme|programme|program|mission|yojana)\b', ' ', 'g'), ' +', ' ', 'g')), scheme FROM t)
@@ -227,54 +218,6 @@ def f15(spark, d):
     return reached.groupBy("seed", "node").agg(F.round(F.max("score"), 6).alias("score"))
 
 
-@add("f16_entity_registry", r"""
-WITH c AS (SELECT 'ministry' AS kind, ministry AS label, document_id FROM extracted_documents UNION ALL SELECT 'department', department, document_id FROM extracted_documents UNION ALL SELECT 'scheme', title, document_id FROM extracted_documents),
-n AS (SELECT kind, label, document_id, trim(regexp_replace(lower(replace(label, '&', ' and ')), '[^\p{L}\p{N}]+', ' ', 'g')) AS norm FROM c WHERE label IS NOT NULL),
-g AS (SELECT kind, norm, count(DISTINCT lower(trim(document_id))) AS document_frequency, count(DISTINCT label) AS aliases, min(label) AS canonical FROM n GROUP BY ALL),
-w AS (SELECT *, row_number() OVER (PARTITION BY norm ORDER BY CASE kind WHEN 'scheme' THEN 0 WHEN 'ministry' THEN 1 ELSE 2 END) AS r FROM g)
-SELECT kind, norm, document_frequency, aliases, canonical, CASE WHEN length(norm) < 3 THEN 'too_short' WHEN r > 1 THEN 'collision' ELSE 'accepted' END AS status FROM w""")
-def f16(spark, d):
-    docs = table(spark, d, "extracted_documents")
-    c = reduce(DataFrame.unionByName, [docs.select(F.lit(kind).alias("kind"), F.col(col).alias("label"), "document_id") for kind, col in (("ministry", "ministry"), ("department", "department"), ("scheme", "title"))])
-    n = c.where("label is not null").withColumn("norm", X.organization_key(F.col("label")))
-    g = n.groupBy("kind", "norm").agg(F.countDistinct(F.lower(F.trim("document_id"))).alias("document_frequency"), F.countDistinct("label").alias("aliases"), F.min("label").alias("canonical"))
-    first = F.row_number().over(Window.partitionBy("norm").orderBy(F.when(F.col("kind") == "scheme", 0).when(F.col("kind") == "ministry", 1).otherwise(2)))
-    return g.withColumn("r", first).withColumn("status", F.when(F.length("norm") < 3, "too_short").when(F.col("r") > 1, "collision").otherwise("accepted")).drop("r")
-
-
-@add("f17_organization_groups", r"""
-WITH RECURSIVE p AS (SELECT DISTINCT 'm:' || trim(regexp_replace(lower(ministry), '[^\p{L}\p{N}]+', ' ', 'g')) AS a, 'd:' || lower(trim(document_id)) AS b FROM extracted_documents WHERE ministry IS NOT NULL AND document_id IS NOT NULL),
-e AS (SELECT a, b FROM p UNION SELECT b, a FROM p), r(n, c) AS (SELECT a, a FROM e UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.n)
-SELECT n AS node, min(c) AS component FROM r GROUP BY n""")
-def f17(spark, d):
-    docs = table(spark, d, "extracted_documents")
-    edges = docs.select(F.concat(F.lit("m:"), X.unicode_norm(F.col("ministry"))).alias("src"), F.concat(F.lit("d:"), F.lower(F.trim("document_id"))).alias("dst"))
-    return connected_components(edges)
-
-
-@add("f19_longest_match", rf"""
-WITH {_MENTIONS}, qw AS (SELECT item_id, regexp_extract_all(lower(question), '[\p{{L}}\p{{N}}_]+') AS w FROM qa_items),
-ln AS (SELECT entity, CAST(len(string_split(entity, ' ')) AS INT) AS size FROM fr),
-rn AS (SELECT item_id, s.size, CAST(i - 1 AS INT) AS p, array_to_string(w[i:i + s.size - 1], ' ') AS run FROM (SELECT item_id, w, unnest(range(1, len(w) + 1)) AS i FROM qw), (SELECT DISTINCT size FROM ln) s WHERE i + s.size - 1 <= len(w)),
-ht AS (SELECT DISTINCT item_id, {{'low': -ln.size, 'phrase': entity, 'p': p}} AS h FROM rn JOIN ln ON entity = run AND ln.size = rn.size),
-fo AS (SELECT item_id, list_reduce(list(h ORDER BY h), lambda acc, x: CASE WHEN len(list_filter(acc, lambda y: y.phrase = x.phrase OR (y.p < x.p - x.low AND x.p < y.p - y.low))) = 0 THEN list_append(acc, x) ELSE acc END, CAST([] AS STRUCT(low INT, phrase VARCHAR, p INT)[])) AS taken FROM ht GROUP BY item_id)
-SELECT item_id, x.phrase AS phrase, x.p AS "at", -x.low AS size FROM (SELECT item_id, unnest(taken) AS x FROM fo)""")
-def f19(spark, d):
-    entities = _mentions(spark, d).select("entity").distinct()
-    hits = G.phrase_occurrences(_questions(spark, d), "item_id", "question", entities, "entity")
-    return G.longest_matches(hits.withColumn("entity", F.col("phrase")), "item_id", "entity").drop("entity")
-
-
-@add("f20_graph_audit", f"""
-WITH {_MENTIONS}, dg AS (SELECT n, count(*) AS degree FROM (SELECT a AS n FROM co UNION ALL SELECT b FROM co) GROUP BY n)
-SELECT mn.entity, max(mn.documents) AS documents, coalesce(max(degree), 0) AS degree FROM mn LEFT JOIN dg ON dg.n = mn.entity GROUP BY mn.entity""")
-def f20(spark, d):
-    mentions = _mentions(spark, d)
-    co = G.co_occurrences(mentions, "doc_id")
-    degree = co.select(F.explode(F.array("a", "b")).alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("degree"))
-    return mentions.select("entity", "documents").distinct().join(degree, "entity", "left").fillna(0, ["degree"])
-
-
 _BEST = f"{RANKED}, best AS (SELECT query_id, retriever, chunk_id, min(rank) AS rank FROM ranked GROUP BY ALL)"
 
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rillmark.functions import ranking, text
-from rillmark.operators import chunking, dedup, graph, metrics, retrieval, stats
+from rillmark.operators import chunking, dedup, entities, graph, metrics, retrieval, stats
 from rillmark.operators.components import connected_components
 
 
@@ -253,3 +253,29 @@ def test_vectors_find_themselves_last(spark):
     assert (l2["item"], l2["score"]) == (21, 1.0)
     many = retrieval.nearest_vectors(df, df, "i", "v", 2, block=7)
     assert many.count() == 80
+
+
+def test_entity_registry_by_hand(spark):
+    rows_ = [
+        ("d1", "Clean Water Scheme (CWS)", "Ministry of Water & Works", "Water Department", "The Ministry of Water and Works runs the Rural Roads Act 2001. XQ: Village Mapping Board (VMB) report."),
+        ("d2", "Clean Water Scheme", "Ministry of Water and Works", None, "Nothing under the clean water scheme, the CWS."),
+        ("d3", "Of Old", "Scheme", None, None), ("d4", None, None, None, "of the Clean Air Policy"),
+    ]
+    docs = spark.createDataFrame(rows_, "doc string, title string, ministry string, department string, text string")
+    out, names = entities.registry(docs)
+    got = {(r["kind"], r["norm"]): (r["document_frequency"], r["reason"]) for r in out.collect()}
+    assert got["scheme", "clean water scheme"] == (2, None) and got["scheme", "of old"] == (1, None)
+    assert got["ministry", "scheme"][1] == "generic_entity" and got["controlled_acronym", "xq"][1] == "unpaired_uppercase_token"
+    assert got["controlled_acronym", "village mapping board"] == (1, None) and got["law_or_policy", "rural roads act 2001"] == (1, None)
+    assert got["ministry", "ministry of water works"] == (1, None) and got["ministry", "ministry of water and works"] == (2, None)
+    assert {(r["norm"], r["alias"]) for r in names.where("alias <> norm").collect()} == {("clean water scheme", "cws"), ("village mapping board", "vmb")}
+    groups = {r["norm"]: r["component"] for r in entities.organisation_groups(docs, out).collect()}
+    assert groups["ministry of water works"] == groups["ministry of water and works"] != groups["water department"]
+    asked = spark.createDataFrame([("q", "Is the CWS of the Clean Water Scheme or the VMB due?"), ("r", None)], "q string, t string")
+    assert rows(entities.resolve(asked, "q", "t", names).select("norm", "alias")) == [("clean water scheme", "clean water scheme"), ("village mapping board", "vmb")]
+    chunks = spark.createDataFrame([("c2", "d1", "none"), ("c1", "d1", "the VMB"), ("c3", "d2", "clean water scheme, vmb"), ("c4", "d2", None)], "chunk string, doc string, text string")
+    found = entities.mentions(docs, chunks, names)
+    assert ("scheme", "clean water scheme", "c1", False, True) in rows(found) and ("controlled_acronym", "village mapping board", "c3", True, False) in rows(found)
+    assert ("controlled_acronym:village mapping board", "scheme:clean water scheme", 2) in rows(entities.co_mentions(found))
+    empty, no_names = entities.registry(docs.limit(0))
+    assert empty.count() == 0 and entities.resolve(asked, "q", "t", no_names).count() == 0
