@@ -40,3 +40,21 @@ def running_sum(df: DataFrame, order: list[str], value: Column, out: str) -> Dat
     shift = sums.select("__range", F.coalesce(F.sum("__s").over(before), F.lit(0)).alias("__shift"))
     inside = F.sum("__v").over(Window.partitionBy("__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
     return ranged.withColumn("__in", inside).join(shift, "__range").withColumn(out, F.col("__in") + F.col("__shift")).select(*df.columns, out)
+
+
+def rank_in_groups(df: DataFrame, keys: list[str], order: list[str], rank: str) -> DataFrame:
+    """Rank of each row in its group in the ascending order of the columns ``order``, equal rows sharing the first place.
+
+    Counts of distinct values are summed over ranges of the whole table, so no group is sorted in one task.
+    """
+    counts = df.groupBy(*keys, *order).agg(F.count(F.lit(1)).alias("__n"))
+    upto = materialize(running_sum(counts, [*keys, *order], F.col("__n"), "__upto"))
+    first = upto.groupBy(*keys).agg(F.min(F.col("__upto") - F.col("__n")).alias("__first")).select(*[F.col(k).alias(f"__k_{k}") for k in keys], "__first")
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
+    placed = upto.join(F.broadcast(first) if not keys else first, same).select(*[F.col(c).alias(f"__r_{c}") for c in (*keys, *order)], (F.col("__upto") - F.col("__n") - F.col("__first") + 1).alias(rank))
+    same = F.lit(True)
+    for c in (*keys, *order):
+        same = same & F.col(c).eqNullSafe(F.col(f"__r_{c}"))
+    return df.join(placed, same).select(*df.columns, rank)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rillmark.functions.ranking import running_sum
 from rillmark.functions.text import word_tokens
 from rillmark.session import materialize, shuffle_partitions, with_package
 
@@ -25,6 +26,7 @@ class Bm25Index:
 
     def __init__(self, docs: DataFrame, key: str, text: str) -> None:
         toks = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("doc"), word_tokens(F.col(text)).alias("toks"))
+        self.docs = toks.select("doc")
         each = toks.select("doc", F.size("toks").alias("dl"), F.explode("toks").alias("term"))
         self.postings = materialize(each.groupBy("term", "doc", "dl").agg(F.count(F.lit(1)).alias("tf")))
         size = toks.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("toks")).alias("avgdl")).first()
@@ -48,6 +50,21 @@ class Bm25Index:
         """
         return top_k(self.scores(queries, query, text, [(k1, b)], idf).drop("k1", "b"), query, "doc", "score", k)
 
+    def search_padded(self, queries: DataFrame, query: str, text: str, k: int, negative: bool = True) -> DataFrame:
+        """Top ``k`` over all documents of each query with words: documents without any of them score 0 and follow by id.
+
+        A query with fewer than ``k`` positive scores and m matched documents finds its padding among the
+        first ``k`` + m ids, so no query meets all documents. Without ``negative`` scores below 0 go.
+        """
+        scored = materialize(self.scores(queries, query, text, [(1.5, 0.75)]).drop("k1", "b").withColumn("score", F.round("score", 6)))
+        best = top_k(scored if negative else scored.where("score >= 0"), query, "doc", "score", k).drop("rank")
+        asked = queries.where(F.col(text).isNotNull() & (F.size(word_tokens(F.col(text))) > 0)).select(query)
+        matched = scored.groupBy(query).agg(F.count(F.lit(1)).alias("m"), F.count(F.when(F.col("score") > 0, 1)).alias("p"))
+        short = asked.join(matched, query, "left").where(f"coalesce(p, 0) < {k}").select(query, F.explode(F.expr(f"sequence(1L, {k} + coalesce(m, 0L))")).alias("place"))
+        placed = running_sum(self.docs, ["doc"], F.lit(1).cast("long"), "place")
+        pad = short.join(placed, "place").select(query, "doc").join(scored.select(query, "doc"), [query, "doc"], "left_anti").withColumn("score", F.lit(0.0))
+        return top_k(best.unionByName(pad.select(best.columns)), query, "doc", "score", k)
+
     def scores(self, queries: DataFrame, query: str, text: str, grid: list[tuple[float, float]], idf: str = "okapi") -> DataFrame:
         """Scores for every parameter pair of ``grid`` in one pass over the postings."""
         terms = queries.where(F.col(text).isNotNull()).select(query, F.explode(word_tokens(F.col(text))).alias("term"))

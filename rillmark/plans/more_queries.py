@@ -14,7 +14,7 @@ from rillmark.plans.benchmark_queries import QUESTIONS, questions
 from rillmark.plans.catalogue import REGISTRY
 from rillmark.plans.metric_queries import ranked
 from rillmark.plans.sql_parts import RANKED
-from rillmark.session import table
+from rillmark.session import materialize, table
 
 add = REGISTRY.add
 
@@ -29,10 +29,11 @@ def a14(spark, d):
 @add("b09_band_join", """
 SELECT a.o_orderkey AS first_order, b.o_orderkey AS second_order FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND b.o_orderdate > a.o_orderdate AND b.o_orderdate <= a.o_orderdate + INTERVAL 30 DAY""")
 def b09(spark, d):
-    o = table(spark, d, "orders")
-    a = o.select("o_custkey", F.col("o_orderkey").alias("first_order"), F.col("o_orderdate").alias("d1"))
-    b = o.select("o_custkey", F.col("o_orderkey").alias("second_order"), F.col("o_orderdate").alias("d2"))
-    return a.join(b, "o_custkey").where("d2 > d1 and d2 <= d1 + interval 30 days").select("first_order", "second_order")
+    """Orders meet in their own and the next stretch of 30 days only, so a customer's orders do not all meet."""
+    o = table(spark, d, "orders").withColumn("stretch", F.floor(F.datediff("o_orderdate", F.lit("1970-01-01")) / 30))
+    a = o.select("o_custkey", F.explode(F.array(F.col("stretch"), F.col("stretch") + 1)).alias("stretch"), F.col("o_orderkey").alias("first_order"), F.col("o_orderdate").alias("d1"))
+    b = o.select("o_custkey", "stretch", F.col("o_orderkey").alias("second_order"), F.col("o_orderdate").alias("d2"))
+    return a.join(b, ["o_custkey", "stretch"]).where("d2 > d1 and d2 <= d1 + interval 30 days").select("first_order", "second_order")
 
 
 _ALIASES = r"""al AS (SELECT DISTINCT trim(regexp_replace(lower(title), '[^\p{L}\p{N}]+', ' ', 'g')) AS alias FROM extracted_documents WHERE title IS NOT NULL),
@@ -100,14 +101,32 @@ def c32(spark, d):
 
 @add("c36_question_overlap", rf"""
 WITH {QUESTIONS}, e AS (SELECT q.query_id, q.chunk_id, min(c.text) AS text FROM qrels q JOIN chunks_v2 c USING (chunk_id) WHERE q.relevance > 0 AND c.text IS NOT NULL GROUP BY ALL),
-t AS (SELECT query_id, chunk_id, list_distinct(regexp_extract_all(lower(question), '[a-z0-9]+')) AS a, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS b FROM e JOIN qs USING (query_id))
-SELECT query_id, chunk_id, CAST(len(list_filter(list_intersect(a, b), lambda w: length(w) > 3)) AS INT) AS shared_words, CAST(len(a) AS INT) AS question_words FROM t""")
+t AS (SELECT query_id, chunk_id, regexp_extract_all(lower(question), '[a-z0-9]+') AS qt, regexp_extract_all(lower(text), '[a-z0-9]+') AS gt FROM e JOIN qs USING (query_id)),
+df AS (SELECT w, count(*) AS df FROM (SELECT chunk_row, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) AS w FROM chunks_v2) GROUP BY w),
+u AS (SELECT *, list_filter(list_distinct(qt), lambda w: length(w) > 3) AS qc, list_filter(list_distinct(gt), lambda w: length(w) > 3) AS gc, array_to_string(gt, ' ') AS g FROM t),
+r AS (SELECT query_id, chunk_id, count(*) AS rare FROM (SELECT query_id, chunk_id, unnest(list_intersect(qc, gc)) AS w FROM u) JOIN df USING (w) WHERE df <= 5 GROUP BY ALL)
+SELECT query_id, chunk_id, CAST(len(list_intersect(qc, gc)) AS INT) AS shared_words, round(len(list_intersect(qc, gc)) * 1.0 / greatest(len(list_distinct(list_concat(qc, gc))), 1), 6) AS jaccard,
+ {", ".join(f"CAST(len(list_filter(list_distinct(list_transform(range(1, greatest(len(qt) - {n - 2}, 1)), lambda i: array_to_string(qt[i:i + {n - 1}], ' '))), lambda x: contains(g, x))) AS INT) AS copied_{n}" for n in (4, 3, 2))}, coalesce(rare, 0) AS rare_words
+FROM u LEFT JOIN r USING (query_id, chunk_id)""")
 def c36(spark, d):
+    """Words of over three letters, copied phrases of four to two words, and words found in at most five chunks, that a question shares with its evidence."""
     q = table(spark, d, "qrels").where("relevance > 0").select("query_id", "chunk_id").distinct()
-    c = table(spark, d, "chunks_v2").where("text is not null").groupBy("chunk_id").agg(F.min("text").alias("text"))
-    t = q.join(c, "chunk_id").join(questions(spark, d), "query_id").select("query_id", "chunk_id", F.array_distinct(X.ascii_tokens(F.col("question"))).alias("a"), F.array_distinct(X.ascii_tokens(F.col("text"))).alias("b"))
-    shared = F.size(F.filter(F.array_intersect("a", "b"), lambda w: F.length(w) > 3))
-    return t.select("query_id", "chunk_id", shared.alias("shared_words"), F.size("a").alias("question_words"))
+    chunks = table(spark, d, "chunks_v2").where("text is not null")
+    c = chunks.groupBy("chunk_id").agg(F.min("text").alias("text"))
+    frequent = chunks.select(F.explode(F.array_distinct(X.ascii_tokens(F.col("text")))).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("df"))
+    t = q.join(c, "chunk_id").join(questions(spark, d), "query_id").select("query_id", "chunk_id", X.ascii_tokens(F.col("question")).alias("qt"), X.ascii_tokens(F.col("text")).alias("gt"))
+    long = lambda w: F.length(w) > 3
+    u = materialize(t.select("query_id", "chunk_id", "qt", F.filter(F.array_distinct("qt"), long).alias("qc"), F.filter(F.array_distinct("gt"), long).alias("gc"), F.array_join("gt", " ").alias("g")))
+    asked = u.select("query_id", "chunk_id", F.explode(F.array_intersect("qc", "gc")).alias("w"))
+    rare = asked.join(frequent, "w").where("df <= 5").groupBy("query_id", "chunk_id").agg(F.count(F.lit(1)).alias("rare_words"))
+
+    def copied(n: int):
+        runs = F.expr(f"array_distinct(transform(if(size(qt) >= {n}, sequence(1, size(qt) - {n} + 1), cast(array() as array<int>)), i -> array_join(slice(qt, i, {n}), ' ')))")
+        return F.size(F.filter(runs, lambda x: F.contains("g", x))).alias(f"copied_{n}")
+
+    shared = F.size(F.array_intersect("qc", "gc"))
+    out = u.select("query_id", "chunk_id", shared.alias("shared_words"), F.round(shared / F.greatest(F.size(F.array_union("qc", "gc")), F.lit(1)), 6).alias("jaccard"), *[copied(n) for n in (4, 3, 2)])
+    return out.join(rare, ["query_id", "chunk_id"], "left").withColumn("rare_words", F.coalesce("rare_words", F.lit(0)))
 
 
 @add("d04_section_packing")
@@ -127,13 +146,6 @@ def f06(spark, d):
     return parts[0].unionByName(parts[1])
 
 
-@add("k14_answer_audit", f"""
-WITH {RANKED}, c AS (SELECT run_id, count(*) AS supplied, count(CASE WHEN score > 0 THEN 1 END) AS cited FROM ranked WHERE rank <= 10 GROUP BY run_id) SELECT run_id, supplied, cited, round(cited * 1.0 / supplied, 6) AS coverage FROM c""")
-def k14(spark, d):
-    c = ranked(spark, d, 10).groupBy("run_id").agg(F.count(F.lit(1)).alias("supplied"), F.count(F.when(F.col("score") > 0, 1)).alias("cited"))
-    return c.select("run_id", "supplied", "cited", F.round(F.col("cited") / F.col("supplied"), 6).alias("coverage"))
-
-
 @add("k15_fusion_trace", f"""
 WITH {RANKED}, b AS (SELECT query_id, chunk_id, retriever, min(rank) AS rank FROM ranked WHERE retriever IN ('bm25', 'entity_graph') AND rank <= 50 GROUP BY ALL)
 SELECT query_id, count(DISTINCT chunk_id) AS fused, count(*) AS contributions, count(*) - count(DISTINCT chunk_id) AS in_both, count(CASE WHEN rank = 1 THEN 1 END) AS firsts FROM b GROUP BY query_id""")

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from rillmark.operators.components import connected_components
+from rillmark.functions.ranking import rank_in_groups
 from rillmark.plans.catalogue import REGISTRY
 from rillmark.session import table
 
@@ -124,7 +125,8 @@ def b21(spark, d):
 
 @add("b22_sorted_rank", "SELECT c_custkey, rank() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal DESC) AS place FROM customer")
 def b22(spark, d):
-    return table(spark, d, "customer").select("c_custkey", F.rank().over(Window.partitionBy("c_mktsegment").orderBy(F.desc("c_acctbal"))).alias("place"))
+    c = table(spark, d, "customer").select("c_custkey", "c_mktsegment", (-F.col("c_acctbal")).alias("low"))
+    return rank_in_groups(c, ["c_mktsegment"], ["low"], "place").select("c_custkey", "place")
 
 
 @add("b23_limit_total_order", "SELECT p_partkey, p_retailprice FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 25")
@@ -205,8 +207,8 @@ def b36(spark, d):
 
 @add("b37_sequence_folds", "SELECT c_custkey, CAST((row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) - 1) % 5 AS INT) AS fold FROM customer")
 def b37(spark, d):
-    place = F.row_number().over(Window.partitionBy("c_mktsegment").orderBy("c_custkey"))
-    return table(spark, d, "customer").select("c_custkey", ((place - 1) % 5).cast("int").alias("fold"))
+    placed = rank_in_groups(table(spark, d, "customer").select("c_mktsegment", "c_custkey"), ["c_mktsegment"], ["c_custkey"], "place")
+    return placed.select("c_custkey", ((F.col("place") - 1) % 5).cast("int").alias("fold"))
 
 
 @add("b38_seeded_sample", "SELECT c_mktsegment, c_custkey FROM customer QUALIFY row_number() OVER (PARTITION BY c_mktsegment ORDER BY md5('42' || c_custkey), c_custkey) <= 20")

@@ -54,6 +54,23 @@ def f01l(spark, d):
     return _index(spark, d).search(_questions(spark, d), "item_id", "question", idf="lucene").withColumnRenamed("doc", "doc_id")
 
 
+def _padded(least: str) -> str:
+    return f"""SELECT item_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM (
+ SELECT q.item_id, d.doc_id, coalesce(sc.score, 0.0) AS score FROM (SELECT DISTINCT item_id FROM qt) q CROSS JOIN (SELECT doc_id FROM documents WHERE text IS NOT NULL) d LEFT JOIN sc ON sc.item_id = q.item_id AND sc.doc_id = d.doc_id) WHERE score {least}) WHERE rank <= 50"""
+
+
+@add("f01_bm25_top50", f"WITH {_INDEX}, {_bm25_sql('1.5', '0.75')} {_padded('IS NOT NULL')}")
+def f01b(spark, d):
+    """The first 50 of all documents: those without a word of the query have score 0 and come by id."""
+    return _index(spark, d).search_padded(_questions(spark, d), "item_id", "question", 50).withColumnRenamed("doc", "doc_id")
+
+
+@add("f01_bm25_nonnegative", f"WITH {_INDEX}, {_bm25_sql('1.5', '0.75')} {_padded('>= 0')}")
+def f01a(spark, d):
+    """As f01_bm25_top50 without negative scores."""
+    return _index(spark, d).search_padded(_questions(spark, d), "item_id", "question", 50, negative=False).withColumnRenamed("doc", "doc_id")
+
+
 _GRID = [(k1, b) for k1 in (0.9, 1.2, 1.5, 1.8) for b in (0.4, 0.6, 0.75, 0.9)]
 
 
@@ -68,7 +85,7 @@ def f02(spark, d):
     return best.select("k1", "b", "item_id", F.col("x.doc").alias("doc_id"), (F.lit(0.0) - F.col("x.low")).alias("score"))
 
 
-_STOP = ("the", "of", "and", "a", "to", "in")
+_STOP = X.GENERIC_TERMS
 
 
 @add("f11_lexical_overlap", rf"""
@@ -145,6 +162,17 @@ def f08(spark, d):
     return _seeds(spark, d, _mentions(spark, d))
 
 
+@add("f12_label_fallback", f"""
+WITH {_SEEDS} SELECT item_id, entity, CAST(place AS INT) AS place FROM (SELECT item_id, entity, row_number() OVER (PARTITION BY item_id ORDER BY entity) AS place FROM sd WHERE item_id NOT IN (SELECT item_id FROM seeds)) WHERE place <= 5""")
+def f12(spark, d):
+    """Questions without an accepted seed take the first five labels they hold, refused ones included."""
+    mentions = _mentions(spark, d)
+    hit = materialize(G.phrase_occurrences(_questions(spark, d), "item_id", "question", mentions.select("entity").distinct(), "entity").select("item_id", F.col("phrase").alias("entity")).distinct())
+    seeded = hit.where(G.seed_reason(F.col("entity"), X.GENERIC_TERMS).isNull()).select("item_id").distinct()
+    place = F.row_number().over(Window.partitionBy("item_id").orderBy("entity"))
+    return hit.join(seeded, "item_id", "left_anti").withColumn("place", place).where("place <= 5")
+
+
 _HOPS = """
 sides AS (SELECT a AS e, b AS nxt FROM co UNION ALL SELECT b, a FROM co),
 hops AS (SELECT item_id, s.entity AS seed, mn.doc_id, 1 AS hop FROM seeds s JOIN mn USING (entity) UNION ALL
@@ -226,9 +254,9 @@ def _fused_sql(k: int, weight: str = "1.0", depth: int = 50, keep: int = 10) ->
 top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM fused WHERE score > 0) WHERE rank <= {keep})"""
 
 
-@add("f22_rrf", f"WITH {_BEST}, {_fused_sql(60)} SELECT query_id, chunk_id, score, systems, rank FROM top")
+@add("f22_rrf", f"WITH {_BEST}, {_fused_sql(60, keep=50)} SELECT query_id, chunk_id, score, systems, rank FROM top")
 def f22(spark, d):
-    return R.reciprocal_rank_fusion(ranked(spark, d), "query_id", "chunk_id", "retriever", keep=10)
+    return R.reciprocal_rank_fusion(ranked(spark, d), "query_id", "chunk_id", "retriever")
 
 
 @add("f23_rrf_pair", f"""
@@ -248,9 +276,11 @@ def f23(spark, d):
 WITH {_BEST}, s AS (SELECT k, query_id, chunk_id, round(sum(1.0 / (k + rank)), 6) AS score FROM best, (VALUES (30), (60), (100)) v(k) WHERE rank <= 50 GROUP BY ALL)
 SELECT CAST(k AS INT) AS k, query_id, chunk_id, score FROM s QUALIFY row_number() OVER (PARTITION BY k, query_id ORDER BY score DESC, chunk_id) <= 10""")
 def f24(spark, d):
-    lists = ranked(spark, d)
-    parts = [R.reciprocal_rank_fusion(lists, "query_id", "chunk_id", "retriever", k=k, keep=10).select(F.lit(k).alias("k"), "query_id", "chunk_id", "score") for k in (30, 60, 100)]
-    return reduce(DataFrame.unionByName, parts)
+    best = ranked(spark, d, 50).groupBy("query_id", "retriever", "chunk_id").agg(F.min("rank").alias("rank"))
+    each = best.select("query_id", "chunk_id", "rank", F.explode(F.array(F.lit(30), F.lit(60), F.lit(100))).alias("k"))
+    fused = each.groupBy("k", "query_id", "chunk_id").agg(F.round(F.sum(F.lit(1.0) / (F.col("k") + F.col("rank"))), 6).alias("score"))
+    place = F.row_number().over(Window.partitionBy("k", "query_id").orderBy(F.desc("score"), "chunk_id"))
+    return fused.withColumn("place", place).where("place <= 10").drop("place")
 
 
 _WEIGHTS = {"bm25": 1.0, "dense_flat": 0.5, "entity_graph": 0.75}
@@ -266,6 +296,23 @@ def f25(spark, d):
     return R.reciprocal_rank_fusion(lists, "query_id", "chunk_id", "retriever", keep=10, weights=_WEIGHTS, last_only=("entity_graph", 0.5))
 
 
+@add("f25_weight_grid", f"""
+WITH {_BEST}, g AS (SELECT CAST(a AS DOUBLE) AS graph_weight, CAST(f AS DOUBLE) AS damping FROM (VALUES (0.25), (0.5), (0.75), (1.0)) x(a), (VALUES (0.25), (0.5), (1.0)) y(f)),
+w AS (SELECT graph_weight, damping, query_id, chunk_id, sum(CASE retriever WHEN 'bm25' THEN 1.0 ELSE graph_weight END / (60 + rank)) AS s, count(*) AS systems, max(retriever) AS one FROM best, g WHERE rank <= 50 AND retriever IN ('bm25', 'entity_graph') GROUP BY ALL),
+x AS (SELECT graph_weight, damping, query_id, chunk_id, round(CASE WHEN systems = 1 AND one = 'entity_graph' THEN s * damping ELSE s END, 6) AS score FROM w)
+SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY graph_weight, damping, query_id ORDER BY score DESC, chunk_id) <= 10""")
+def f25_grid(spark, d):
+    """All weights and dampings in one pass over the lists."""
+    best = ranked(spark, d, 50).where("retriever in ('bm25', 'entity_graph')").groupBy("query_id", "chunk_id", "retriever").agg(F.min("rank").alias("rank"))
+    sides = best.groupBy("query_id", "chunk_id").agg(F.min(F.when(F.col("retriever") == "bm25", F.col("rank"))).alias("b"), F.min(F.when(F.col("retriever") == "entity_graph", F.col("rank"))).alias("g"))
+    grid = F.array(*[F.struct(F.lit(w).alias("graph_weight"), F.lit(f).alias("damping")) for w in (0.25, 0.5, 0.75, 1.0) for f in (0.25, 0.5, 1.0)])
+    each = sides.select("query_id", "chunk_id", "b", "g", F.explode(grid).alias("x")).select("query_id", "chunk_id", "b", "g", "x.*")
+    lexical, graph = F.coalesce(F.lit(1.0) / (F.lit(60) + F.col("b")), F.lit(0.0)), F.coalesce(F.col("graph_weight") / (F.lit(60) + F.col("g")), F.lit(0.0))
+    score = F.when(F.col("b").isNull(), graph * F.col("damping")).otherwise(lexical + graph)
+    place = F.row_number().over(Window.partitionBy("graph_weight", "damping", "query_id").orderBy(F.desc("score"), "chunk_id"))
+    return each.select("graph_weight", "damping", "query_id", "chunk_id", F.round(score, 6).alias("score")).withColumn("place", place).where("place <= 10").drop("place")
+
+
 @add("f26_fusion_stop_rule", f"""
 WITH {PANEL}, m AS (SELECT retriever, avg(graded_ndcg_at_10) AS v FROM panel GROUP BY retriever)
 SELECT b.retriever, round(b.v - a.v, 6) AS gain, b.v - a.v >= 0.01 AS adopted FROM m a JOIN m b ON a.retriever = 'bm25' AND b.retriever <> 'bm25'""")
@@ -277,27 +324,19 @@ def f26(spark, d):
 
 
 @add("f27_rerank_pool", f"""
-WITH {_BEST}, pool AS (SELECT DISTINCT query_id, chunk_id FROM best WHERE retriever IN ('bm25', 'dense_flat') AND rank <= 20),
-s AS (SELECT p.query_id, p.chunk_id, round(coalesce(max(1.0 / b.rank), 0), 6) AS score FROM pool p LEFT JOIN best b ON b.query_id = p.query_id AND b.chunk_id = p.chunk_id AND b.retriever = 'prompt_rag' GROUP BY ALL)
-SELECT query_id, chunk_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s) WHERE rank <= 10""")
+WITH {_BEST}, lists AS (SELECT retriever AS pool, query_id, chunk_id, rank FROM best WHERE retriever IN ('bm25', 'dense_flat') UNION ALL SELECT 'union', query_id, chunk_id, rank FROM best WHERE retriever IN ('bm25', 'dense_flat')),
+pools AS (SELECT DISTINCT pool, CAST(depth AS INT) AS depth, query_id, chunk_id FROM lists, (VALUES (20), (50), (100)) v(depth) WHERE rank <= depth),
+s AS (SELECT pool, depth, p.query_id, p.chunk_id, round(coalesce(max(1.0 / b.rank), 0), 6) AS score FROM pools p LEFT JOIN best b ON b.query_id = p.query_id AND b.chunk_id = p.chunk_id AND b.retriever = 'prompt_rag' GROUP BY ALL)
+SELECT pool, depth, query_id, chunk_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY pool, depth, query_id ORDER BY score DESC, chunk_id) AS rank FROM s) WHERE rank <= 10""")
 def f27(spark, d):
-    best = ranked(spark, d).groupBy("query_id", "retriever", "chunk_id").agg(F.min("rank").alias("rank"))
-    pool = best.where("retriever in ('bm25', 'dense_flat') and rank <= 20").select("query_id", "chunk_id").distinct()
+    """Lexical, dense and joint pools of three depths, ranked again by the recorded scorer."""
+    best = materialize(ranked(spark, d).groupBy("query_id", "retriever", "chunk_id").agg(F.min("rank").alias("rank")))
+    lists = best.where("retriever in ('bm25', 'dense_flat') and rank <= 100").select(F.explode(F.array("retriever", F.lit("union"))).alias("pool"), "query_id", "chunk_id", "rank")
+    pools = lists.groupBy("pool", "query_id", "chunk_id").agg(F.min("rank").alias("rank")).select("*", F.explode(F.array(F.lit(20), F.lit(50), F.lit(100))).alias("depth")).where("rank <= depth").drop("rank")
     scorer = best.where("retriever = 'prompt_rag'").select("query_id", "chunk_id", (F.lit(1.0) / F.col("rank")).alias("s"))
-    return R.top_k(pool.join(scorer, ["query_id", "chunk_id"], "left").select("query_id", "chunk_id", F.coalesce("s", F.lit(0.0)).alias("score")), "query_id", "chunk_id", "score", 10)
-
-
-@add("f28_parse_scores", f"""
-WITH {RANKED} SELECT run_id, chunk_id, CAST(least(3, greatest(0, floor(score))) AS INT) AS score, row_number() OVER (PARTITION BY run_id ORDER BY least(3, greatest(0, floor(score))) DESC, chunk_id) AS rank FROM ranked WHERE retriever = 'prompt_rag'""")
-def f28(spark, d):
-    """A scorer's answers are written as JSON, parsed against the candidate set and ranked again."""
-    lists = ranked(spark, d).where("retriever = 'prompt_rag'")
-    grade = F.least(F.lit(3), F.greatest(F.lit(0), F.floor("score"))).cast("int")
-    answers = lists.groupBy("run_id").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("chunk_id", grade)))).alias("answer"), F.collect_set("chunk_id").alias("asked"))
-    parsed = answers.select("run_id", "asked", F.from_json("answer", "map<string,int>").alias("scores"))
-    valid = parsed.where(F.size(F.array_except("asked", F.map_keys("scores"))) + F.size(F.array_except(F.map_keys("scores"), "asked")) == 0)
-    flat = valid.select("run_id", F.explode("scores").alias("chunk_id", "score")).where("score between 0 and 3")
-    return flat.withColumn("rank", F.row_number().over(Window.partitionBy("run_id").orderBy(F.desc("score"), "chunk_id")))
+    scored = pools.join(scorer, ["query_id", "chunk_id"], "left").select("pool", "depth", "query_id", "chunk_id", F.round(F.coalesce("s", F.lit(0.0)), 6).alias("score"))
+    place = F.row_number().over(Window.partitionBy("pool", "depth", "query_id").orderBy(F.desc("score"), "chunk_id"))
+    return scored.withColumn("rank", place).where("rank <= 10")
 
 
 @add("f29_cost", """
