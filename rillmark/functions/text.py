@@ -99,14 +99,29 @@ def authoritative_host(url: Column, allowed: tuple[str, ...] = ("mygov.in", "www
     return F.lower(url).startswith("https://") & (host.endswith(".gov.in") | host.endswith(".nic.in") | host.isin(*allowed))
 
 
+ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&apos;", "'"), ("&nbsp;", "\u00a0"), ("&amp;", "&"))
+ARTIFACTS = r"(?i)[{}\[\]]|\b(?:answer_md|chunk_id|doc_id|schemeId|children|list_item|align_justify)\b"
+
+
 def unescape_strip(text: Column) -> Column:
-    """Basic entities decoded, line-break tags to line breaks, other tags dropped, blanks collapsed."""
+    """Entities decoded up to three times, line-break tags and written line breaks to line breaks, other tags dropped, white
+    space collapsed, blanks, dashes and bars cut from both ends."""
     t = text
-    for entity, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        t = F.replace(t, F.lit(entity), F.lit(sign))
+    for _ in range(3):
+        for entity, sign in ENTITIES:
+            t = F.replace(t, F.lit(entity), F.lit(sign))
     t = F.regexp_replace(t, r"(?i)<br\s*/?>", "\n")
     t = F.regexp_replace(t, r"<[^>]+>", " ")
-    return F.trim(F.regexp_replace(F.regexp_replace(t, r"[ \t]+", " "), r" ?\n ?", "\n"))
+    t = F.regexp_replace(F.replace(t, F.lit("\\n"), F.lit("\n")), "[ \t\u00a0]+", " ")
+    return F.regexp_replace(F.regexp_replace(t, r" ?\n ?", "\n"), r"\A[\s|-]+|[\s|-]+\z", "")
+
+
+def unique_paragraphs(text: Column) -> Column:
+    """Lines of a text whose letters and digits (two at least) were in no line before, in order."""
+    lines = F.transform(F.split(text, "\n"), lambda p: F.struct(strip(p).alias("paragraph"), ascii_norm(p).alias("key")))
+    kept = F.filter(lines, lambda x: F.length(x["key"]) >= 2)
+    first = F.filter(F.array_distinct(F.transform(kept, lambda x: x["key"])), lambda k: k != "")
+    return F.transform(first, lambda k: F.filter(kept, lambda x: x["key"] == k)[0]["paragraph"])
 
 
 def markdown_plain(text: Column) -> Column:
@@ -154,9 +169,23 @@ def domain_tags(text: Column) -> Column:
 
 
 def sentences(text: Column, least: int = 30, most: int = 500) -> Column:
-    """Sentences of ``least`` to ``most`` characters, cut after . ! or ? and white space."""
-    parts = F.split(text, r"(?<=[.!?])\s+")
-    return F.filter(F.transform(parts, strip), lambda s: F.length(s).between(least, most))
+    """Sentences of ``least`` to ``most`` characters, cut after . ! or ? and white space, with single blanks; those with
+    traces of serialised records are left out."""
+    parts = F.filter(F.split(text, r"(?<=[.!?])\s+"), lambda s: ~s.rlike(ARTIFACTS))
+    plain = F.transform(parts, lambda s: strip(F.regexp_replace(s, r"\s+", " ")))
+    fit = F.filter(plain, lambda s: F.length(s).between(least, most))
+    return F.transform(fit, lambda s: F.regexp_replace(s, r"""\A[ :;"'-]+|[ :;"'-]+\z""", ""))
+
+
+def usable_answer(sentence: Column) -> Column:
+    """A statement: no question mark, no label or address at its beginning, five lower-case words, no dangling last word."""
+    low = F.lower(strip(sentence))
+    return (
+        ~sentence.contains("?")
+        & ~low.rlike(r"^(?:true|false|https?://|central\s+ministry|ministry\s+of|department\s+of)\b")
+        & (F.regexp_count(sentence, F.lit(r"\b[a-z]{3,}\b")) >= 5)
+        & ~low.rlike(r"\b(?:the|a|an|to|of|in|on|for|prescribed)\W*$")
+    )
 
 
 def category(question: Column, stored: Column | None = None) -> Column:
@@ -185,11 +214,13 @@ def heading_like(line: Column) -> Column:
     return F.length(line).between(3, 100) & (n <= 12) & ~line.rlike(r"[.;:,]$") & (capitals | numbered | title)
 
 
-def excerpt(text: Column, needle: str, width: int = 220) -> Column:
-    """``width`` characters around the first occurrence, a third before it; null if there is none."""
-    at = F.instr(F.lower(text), needle.lower())
+def excerpt(text: Column, needle: Column, width: int = 220) -> Column:
+    """``width`` characters around the first occurrence of ``needle``, a third before it, or of the beginning if there is none; white space is
+    collapsed, case has no say. An empty or null needle gives null."""
+    plain = strip(F.regexp_replace(text, r"\s+", " "))
+    at = F.instr(F.lower(plain), F.lower(needle))
     start = F.greatest(F.lit(1), at - width // 3)
-    return F.when(at > 0, F.substr(text, start, F.lit(width)))
+    return F.when(F.length(needle) > 0, F.substr(plain, start, F.lit(width)))
 
 
 def initials(phrase: Column) -> Column:

@@ -142,3 +142,24 @@ def greedy_keep(pairs: DataFrame, local_pairs: int = LOCAL_PAIRS) -> DataFrame:
     out = materialize(rest if out is None else out.union(rest))
     of_kept = first.join(out.select(F.col("b").alias("g")), F.col("a") == F.col("g"), "left_anti")
     return of_kept.join(out, "b", "left_semi").groupBy("b").agg(F.min("a").alias("retained"))
+
+
+def cascade(df: DataFrame, key: str, place: str, text: str, threshold: float) -> DataFrame:
+    """Refused rows of a first-wins pass in the order of ``place`` (unique): ``rejected``, ``retained`` (keys) and ``method``.
+
+    A row is refused by the first row of equal bytes, then by the first kept one of equal words, then by the
+    first kept one with a similarity of at least ``threshold``. Minima are aggregated before each join, so
+    a group of copies never meets in one task. Rows with a null text are left out.
+    """
+    rows = materialize(df.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(place).alias("place"), F.col(text).alias("text"), F.sha2(text, 256).alias("raw"), F.sha2(F.array_join(ascii_tokens(F.col(text)), " "), 256).alias("norm")))
+    reports, left = [], rows
+    for sha, method in (("raw", "raw_sha256"), ("norm", "normalized_sha256")):
+        first = left.groupBy(sha).agg(F.min("place").alias("first"))
+        joined = left.join(first, sha)
+        reports.append(joined.where("place <> first").select(F.col("place").alias("b"), F.col("first").alias("a"), F.lit(method).alias("method")))
+        left = materialize(joined.where("place = first").drop("first"))
+    near = greedy_keep(shingle_pairs(left, "place", "text", threshold)).select("b", F.col("retained").alias("a"), F.lit("shingle_jaccard").alias("method"))
+    report = reports[0].union(reports[1]).union(near)
+    of = rows.select("key", "place")
+    named = report.join(of.select(F.col("key").alias("rejected"), F.col("place").alias("b")), "b").join(of.select(F.col("key").alias("retained"), F.col("place").alias("a")), "a")
+    return named.select("rejected", "retained", "method")

@@ -94,21 +94,28 @@ def c10(spark, d):
     return _urls(spark, d).groupBy(host).agg(F.count(F.lit(1)).alias("n"), F.sum(X.authoritative_host(F.col("url")).cast("long")).alias("authoritative"))
 
 
-@add("c11_unescape_strip", r"""
-SELECT ext_row, md5(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
- replace(replace(replace(replace(replace(text, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'),
- '(?i)<br\s*/?>', chr(10), 'g'), '<[^>]+>', ' ', 'g'), '[ \t]+', ' ', 'g'), ' ?\n ?', chr(10), 'g'), ' ')) AS plain_md5 FROM extracted_documents WHERE text IS NOT NULL""")
+def _unescape_sql() -> str:
+    t = "text"
+    for _ in range(3):
+        for entity, sign in X.ENTITIES:
+            quoted = sign.replace("'", "''")
+            t = f"replace({t}, '{entity}', '{quoted}')"
+    t = f"regexp_replace(regexp_replace({t}, '(?i)<br\\s*/?>', chr(10), 'g'), '<[^>]+>', ' ', 'g')"
+    t = f"regexp_replace(replace({t}, '\\n', chr(10)), '[ \\t\\x{{A0}}]+', ' ', 'g')"
+    return f"regexp_replace(regexp_replace({t}, ' ?\\n ?', chr(10), 'g'), '\\A[\\s|-]+|[\\s|-]+\\z', '', 'g')"
+
+
+@add("c11_unescape_strip", f"SELECT ext_row, md5({_unescape_sql()}) AS plain_md5 FROM extracted_documents WHERE text IS NOT NULL")
 def c11(spark, d):
     return table(spark, d, "extracted_documents").where("text is not null").select("ext_row", F.md5(X.unescape_strip(F.col("text"))).alias("plain_md5"))
 
 
 @add("c13_unique_paragraphs", r"""
-WITH p AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS para, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
-k AS (SELECT doc_id, pos, array_to_string(regexp_extract_all(lower(para), '[a-z0-9]+'), ' ') AS key FROM p)
-SELECT doc_id, count(*) AS paragraphs, count(DISTINCT key) AS distinct_paragraphs FROM k WHERE length(key) >= 2 GROUP BY doc_id""")
+WITH p AS (SELECT doc_id, regexp_replace(unnest(string_split(text, chr(10))), '\A\s+|\s+\z', '', 'g') AS para, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
+k AS (SELECT doc_id, pos, para, array_to_string(regexp_extract_all(lower(para), '[a-z0-9]+'), ' ') AS key FROM p), f AS (SELECT * FROM k WHERE length(key) >= 2 QUALIFY row_number() OVER (PARTITION BY doc_id, key ORDER BY pos) = 1)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS INT) AS position, para AS paragraph FROM f""")
 def c13(spark, d):
-    keys = _docs(spark, d).select("doc_id", F.explode(F.split(F.col("text"), "\n")).alias("para")).select("doc_id", X.ascii_norm(F.col("para")).alias("key"))
-    return keys.where(F.length("key") >= 2).groupBy("doc_id").agg(F.count(F.lit(1)).alias("paragraphs"), F.countDistinct("key").alias("distinct_paragraphs"))
+    return _docs(spark, d).select("doc_id", F.posexplode(X.unique_paragraphs(F.col("text"))).alias("position", "paragraph"))
 
 
 @add("c16_markdown_plain", r"""
@@ -149,22 +156,22 @@ def c19(spark, d):
     )
 
 
-@add("c20_sentences", r"""
-SELECT doc_id, CAST(count(*) AS BIGINT) AS sentences, CAST(sum(length(s)) AS BIGINT) AS chars FROM (
- SELECT doc_id, regexp_replace(unnest(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))), '\A\s+|\s+\z', '', 'g') AS s FROM documents)
-WHERE length(s) BETWEEN 30 AND 500 GROUP BY doc_id""")
+_SENTENCES = r"""sn AS (SELECT doc_id, regexp_replace(q, '\A[ :;"''-]+|[ :;"''-]+\z', '', 'g') AS sentence, pos FROM (SELECT doc_id, pos, regexp_replace(regexp_replace(s, '\s+', ' ', 'g'), '\A\s+|\s+\z', '', 'g') AS q FROM (
+ SELECT doc_id, unnest(l) AS s, generate_subscripts(l, 1) AS pos FROM (SELECT doc_id, string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS l FROM documents)) WHERE NOT regexp_matches(s, '""" + X.ARTIFACTS + """')) WHERE length(q) BETWEEN 30 AND 500)"""
+
+
+@add("c20_sentences", f"WITH {_SENTENCES} SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS INT) AS position, sentence FROM sn")
 def c20(spark, d):
-    s = _docs(spark, d).select("doc_id", F.explode(X.sentences(F.col("text"))).alias("s"))
-    return s.groupBy("doc_id").agg(F.count(F.lit(1)).alias("sentences"), F.sum(F.length("s")).alias("chars"))
+    return _docs(spark, d).select("doc_id", F.posexplode(X.sentences(F.col("text"))).alias("position", "sentence"))
 
 
-@add("c21_usable_answer", r"""
-SELECT doc_id, (NOT contains(text, '?') AND len(regexp_extract_all(text, '\b[a-z]{2,}\b')) >= 5
- AND NOT regexp_matches(lower(trim(text)), '\b(and|or|of|the|to|for|with|in)\.?$')) AS usable FROM documents WHERE text IS NOT NULL""")
+@add("c21_usable_answer", rf"""
+WITH {_SENTENCES}, l AS (SELECT doc_id, sentence, regexp_replace(lower(sentence), '\A\s+|\s+\z', '', 'g') AS low FROM sn)
+SELECT doc_id, count(*) AS sentences, CAST(sum(CASE WHEN NOT contains(sentence, '?') AND NOT regexp_matches(low, '^(?:true|false|https?://|central\s+ministry|ministry\s+of|department\s+of)\b') AND len(regexp_extract_all(sentence, '\b[a-z]{{3,}}\b')) >= 5
+ AND NOT regexp_matches(low, '\b(?:the|a|an|to|of|in|on|for|prescribed)\W*$') THEN 1 ELSE 0 END) AS BIGINT) AS usable FROM l GROUP BY doc_id""")
 def c21(spark, d):
-    a = F.col("text")
-    usable = ~a.contains("?") & (F.regexp_count(a, F.lit(r"\b[a-z]{2,}\b")) >= 5) & ~F.lower(F.trim(a)).rlike(r"\b(and|or|of|the|to|for|with|in)\.?$")
-    return _docs(spark, d).select("doc_id", usable.alias("usable"))
+    each = _docs(spark, d).select("doc_id", F.explode(X.sentences(F.col("text"))).alias("sentence"))
+    return each.groupBy("doc_id").agg(F.count(F.lit(1)).alias("sentences"), F.sum(X.usable_answer(F.col("sentence")).cast("long")).alias("usable"))
 
 
 @add("c23_initials", r"""
@@ -175,6 +182,24 @@ def c23(spark, d):
     return docs.groupBy("ministry", X.initials(F.col("ministry")).alias("initials")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@add("c23_acronym_match", r"""
+WITH t AS (SELECT DISTINCT trim(regexp_replace(lower(title), '[^\p{L}\p{N}]+', ' ', 'g')) AS phrase, title FROM extracted_documents WHERE title IS NOT NULL),
+i AS (SELECT phrase, title, string_split(phrase, ' ') AS w, array_to_string(list_transform(string_split(phrase, ' '), lambda x: left(x, 1)), '') AS ini FROM t),
+k AS (SELECT DISTINCT lower(unnest(regexp_extract_all(query_text, '\b[A-Z]{2,}\b'))) AS short FROM retrieval_runs), s AS (SELECT DISTINCT ini AS short FROM i UNION SELECT short FROM k),
+m AS (SELECT short, regexp_replace(short, 's+$', '') AS bare FROM s)
+SELECT i.title, m.short, (ini = short OR rtrim(ini, 's') = short OR ini || 's' = short) AS exact, true AS matches FROM i JOIN m ON len(w) >= 2 AND bare <> '' AND left(ini, 1) = left(bare, 1) AND length(short) >= 2 AND regexp_matches(ini, array_to_string(string_split(bare, ''), '.*'))""")
+def c23_match(spark, d):
+    """Which short forms (initials of the titles, capitals in the questions) stand for which title: initials, with or without an s, or letters of them in order."""
+    t = table(spark, d, "extracted_documents").where("title is not null").select("title", X.unicode_norm(F.col("title")).alias("phrase")).distinct()
+    i = t.select("title", F.split("phrase", " ").alias("w")).select("title", "w", F.array_join(F.transform("w", lambda x: F.left(x, F.lit(1))), "").alias("ini"))
+    asked = table(spark, d, "retrieval_runs").select(F.explode(F.regexp_extract_all("query_text", F.lit(r"\b[A-Z]{2,}\b"), F.lit(0))).alias("x")).select(F.lower("x").alias("short"))
+    m = i.select(F.col("ini").alias("short")).union(asked).distinct().withColumn("bare", F.regexp_replace("short", "s+$", "")).where("bare <> '' and length(short) >= 2")
+    pattern = F.array_join(F.filter(F.split("bare", ""), lambda x: x != ""), ".*")
+    both = i.where("size(w) >= 2").withColumn("head", F.left("ini", F.lit(1))).join(m.withColumn("head", F.left("bare", F.lit(1))), "head").where(F.regexp_like("ini", pattern))
+    exact = (F.col("ini") == F.col("short")) | (F.regexp_replace("ini", "s+$", "") == F.col("short")) | (F.concat("ini", F.lit("s")) == F.col("short"))
+    return both.select("title", "short", exact.alias("exact"), F.lit(True).alias("matches"))
+
+
 _ACRONYM = r"([A-Z][A-Za-z]*(?:\s+[A-Z][A-Za-z]*){1,10})\s*\(([A-Z][A-Z0-9-]{1,9})\)"
 
 
@@ -194,10 +219,13 @@ def c25(spark, d):
     return _docs(spark, d).select(F.explode(F.regexp_extract_all(F.col("text"), F.lit(_LAW), F.lit(0))).alias("phrase")).groupBy("phrase").agg(F.count(F.lit(1)).alias("n"))
 
 
-@add("c26_excerpt", """
-SELECT doc_id, substr(text, greatest(1, instr(lower(text), 'subsidy') - 73), 220) AS excerpt FROM documents WHERE instr(lower(text), 'subsidy') > 0""")
+@add("c26_excerpt", r"""
+WITH p AS (SELECT ext_row, title, regexp_replace(regexp_replace(text, '\s+', ' ', 'g'), '\A\s+|\s+\z', '', 'g') AS t FROM extracted_documents WHERE text IS NOT NULL AND length(title) > 0)
+SELECT ext_row, substr(t, greatest(1, instr(lower(t), lower(title)) - 73), 220) AS excerpt FROM p""")
 def c26(spark, d):
-    return _docs(spark, d).select("doc_id", X.excerpt(F.col("text"), "subsidy").alias("excerpt")).where("excerpt is not null")
+    """The surroundings of each document's own title in its text."""
+    docs = table(spark, d, "extracted_documents").where("text is not null")
+    return docs.select("ext_row", X.excerpt(F.col("text"), F.col("title")).alias("excerpt")).where("excerpt is not null")
 
 
 _CAP_SQL = r"list_distinct(list_transform(list_filter(regexp_extract_all(text, '[A-Z][a-zA-Z]+(?:\s+[A-Z][a-zA-Z]+)*'), lambda s: length(s) > 3), lambda s: lower(s)))"
@@ -230,27 +258,35 @@ def c31(spark, d):
 
 
 @add("c33_scheme_aliases", r"""
-WITH t AS (SELECT DISTINCT trim(regexp_replace(lower(title), '[^\p{L}\p{N}]+', ' ', 'g')) AS scheme FROM extracted_documents WHERE title IS NOT NULL),
-a AS (SELECT scheme, scheme AS alias FROM t UNION SELECT scheme, trim(regexp_replace(regexp_replace(scheme, '\b(?:scheme|programme|program|mission|yojana)\b', ' ', 'g'), ' +', ' ', 'g')) FROM t
- UNION SELECT scheme, array_to_string(list_transform(string_split(scheme, ' '), lambda w: left(w, 1)), '') FROM t)
+WITH t AS (SELECT DISTINCT title, trim(regexp_replace(lower(title), '[^\p{L}\p{N}]+', ' ', 'g')) AS scheme FROM extracted_documents WHERE title IS NOT NULL),
+a AS (SELECT scheme, scheme AS alias FROM t UNION SELECT scheme, b FROM (SELECT scheme, trim(regexp_replace(regexp_replace(scheme, '\b(?:scheme|programme|program|mission|yojana)\b', ' ', 'g'), ' +', ' ', 'g')) AS b FROM t) WHERE length(b) >= 4
+ UNION SELECT scheme, lower(unnest(regexp_extract_all(title, '\(([A-Z][A-Z0-9-]{1,9})\)', 1))) FROM t
+ UNION SELECT scheme, i FROM (SELECT scheme, array_to_string(list_transform(list_filter(string_split(scheme, ' '), lambda w: w NOT IN ('of', 'the', 'and', 'for')), lambda w: left(w, 1)), '') AS i FROM t) WHERE length(i) BETWEEN 2 AND 10)
 SELECT scheme, alias FROM a WHERE length(alias) >= 2""")
 def c33(spark, d):
-    t = table(spark, d, "extracted_documents").where("title is not null").select(X.unicode_norm(F.col("title")).alias("scheme")).distinct()
+    """Full title, title without its kind, acronym in brackets, initials without small words."""
+    t = table(spark, d, "extracted_documents").where("title is not null").select("title", X.unicode_norm(F.col("title")).alias("scheme")).distinct()
     bare = F.trim(F.regexp_replace(F.regexp_replace("scheme", r"\b(?:scheme|programme|program|mission|yojana)\b", " "), " +", " "))
-    return t.select("scheme", F.explode(F.array_distinct(F.array("scheme", bare, X.initials(F.col("scheme"))))).alias("alias")).where(F.length("alias") >= 2)
+    initials = F.array_join(F.transform(F.filter(F.split("scheme", " "), lambda w: ~w.isin("of", "the", "and", "for")), lambda w: F.left(w, F.lit(1))), "")
+    short = F.transform(F.regexp_extract_all("title", F.lit(r"\(([A-Z][A-Z0-9-]{1,9})\)"), F.lit(1)), F.lower)
+    own = F.array(F.col("scheme"), F.when(F.length(bare) >= 4, bare), F.when(F.length(initials).between(2, 10), initials))
+    return t.select("scheme", F.explode(F.array_union(own, short)).alias("alias")).where(F.length("alias") >= 2).distinct()
+
+
+_CONTROL = r"[\p{Cf}\p{Co}\x00-\x08\x0b\x0c\x0e-\x1f\x7f]"
 
 
-@add("c34_noise_flags", r"""
+@add("c34_noise_flags", rf"""
 WITH n AS (SELECT chunk_row, array_to_string(regexp_extract_all(lower(text), '[a-z0-9]+'), ' ') AS norm, text FROM chunks_v2 WHERE text IS NOT NULL)
 SELECT chunk_row, len(regexp_split_to_array(trim(text), '\s+')) < 40 AS is_short,
- CAST(length(regexp_replace(text, '[^\p{L}]+', '', 'g')) AS DOUBLE) / greatest(length(text), 1) < 0.55 AS low_alpha,
+ CAST(length(regexp_replace(text, '[^\p{{L}}]+', '', 'g')) AS DOUBLE) / greatest(length(text), 1) < 0.55 AS low_alpha, CAST(length(regexp_replace(text, '{_CONTROL}', '', 'g')) AS DOUBLE) / greatest(length(text), 1) < 0.98 AS unprintable,
  count(*) OVER (PARTITION BY left(norm, 240)) >= 3 AS repeated_prefix FROM n""")
 def c34(spark, d):
     n = table(spark, d, "chunks_v2").where("text is not null").select("chunk_row", F.left(X.ascii_norm(F.col("text")), F.lit(240)).alias("prefix"), "text")
     often = n.groupBy("prefix").agg(F.count(F.lit(1)).alias("rows"))  # counted before the join: a prefix may be very frequent
-    alpha = F.length(F.regexp_replace("text", r"[^\p{L}]+", "")) / F.greatest(F.length("text"), F.lit(1))
-    flags = n.select("chunk_row", "prefix", (F.size(F.split(F.trim("text"), r"\s+")) < 40).alias("is_short"), (alpha < 0.55).alias("low_alpha"))
-    return flags.join(often, "prefix").select("chunk_row", "is_short", "low_alpha", (F.col("rows") >= 3).alias("repeated_prefix"))
+    share = lambda pattern: F.length(F.regexp_replace("text", pattern, "")) / F.greatest(F.length("text"), F.lit(1))
+    flags = n.select("chunk_row", "prefix", (F.size(F.split(F.trim("text"), r"\s+")) < 40).alias("is_short"), (share(r"[^\p{L}]+") < 0.55).alias("low_alpha"), (share(_CONTROL) < 0.98).alias("unprintable"))
+    return flags.join(often, "prefix").select("chunk_row", "is_short", "low_alpha", "unprintable", (F.col("rows") >= 3).alias("repeated_prefix"))
 
 
 @add("c35_headings", r"""
