@@ -81,14 +81,19 @@ def _evidence(spark, d):
     return q.join(c, "chunk_id")
 
 
-@add("j04_answer_support", f"""
-WITH {QUESTIONS}, {_EVIDENCE}, t AS (SELECT query_id, chunk_id, list_distinct(regexp_extract_all(lower(question), '[a-z0-9]+')) AS a, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS e, contains(lower(text), lower(question)) AS verbatim FROM ev JOIN qs USING (query_id))
-SELECT query_id, chunk_id, verbatim, round(len(list_intersect(a, e)) * 1.0 / greatest(len(a), 1), 6) AS coverage, verbatim OR len(list_intersect(a, e)) * 1.0 / greatest(len(a), 1) >= 0.85 AS supported FROM t""")
+@add("j04_answer_support", r"""
+WITH d AS (SELECT lower(trim(document_id)) AS doc, array_to_string(regexp_extract_all(lower(text), '[a-z0-9]+'), ' ') AS e FROM extracted_documents WHERE text IS NOT NULL AND document_id IS NOT NULL),
+c AS (SELECT chunk_row, lower(trim(document_id)) AS doc, array_to_string(regexp_extract_all(lower(text), '[a-z0-9]+'), ' ') AS a FROM chunks_v2 WHERE text IS NOT NULL AND document_id IS NOT NULL),
+t AS (SELECT chunk_row, contains(e, a) AS verbatim, len(list_intersect(list_distinct(string_split(a, ' ')), list_distinct(string_split(e, ' ')))) * 1.0 / len(list_distinct(string_split(a, ' '))) AS coverage FROM c JOIN d USING (doc) WHERE a <> '')
+SELECT chunk_row, bool_or(verbatim) AS verbatim, round(max(coverage), 6) AS coverage, bool_or(verbatim) OR max(coverage) >= 0.85 AS supported FROM t GROUP BY chunk_row""")
 def j04(spark, d):
-    both = _evidence(spark, d).join(questions(spark, d), "query_id")
-    t = both.select("query_id", "chunk_id", F.array_distinct(X.ascii_tokens(F.col("question"))).alias("a"), F.array_distinct(X.ascii_tokens(F.col("text"))).alias("e"), F.contains(F.lower("text"), F.lower("question")).alias("verbatim"))
-    share = F.size(F.array_intersect("a", "e")) / F.greatest(F.size("a"), F.lit(1))
-    return t.select("query_id", "chunk_id", "verbatim", F.round(share, 6).alias("coverage"), (F.col("verbatim") | (share >= 0.85)).alias("supported"))
+    """Whether the document a passage is said to come from supports it: verbatim or by its words; the best delivery of the document counts."""
+    doc = F.lower(F.trim("document_id")).alias("doc")
+    e = table(spark, d, "extracted_documents").where("text is not null and document_id is not null").select(doc, X.ascii_norm(F.col("text")).alias("e")).distinct()
+    c = table(spark, d, "chunks_v2").where("text is not null and document_id is not null").select("chunk_row", doc, X.ascii_norm(F.col("text")).alias("a")).where("a <> ''")
+    words = lambda x: F.array_distinct(F.split(x, " "))
+    t = c.join(e, "doc").select("chunk_row", F.contains("e", "a").alias("verbatim"), (F.size(F.array_intersect(words("a"), words("e"))) / F.size(words("a"))).alias("coverage"))
+    return t.groupBy("chunk_row").agg(F.bool_or("verbatim").alias("verbatim"), F.round(F.max("coverage"), 6).alias("coverage"), (F.bool_or("verbatim") | (F.max("coverage") >= 0.85)).alias("supported"))
 
 
 @add("j05_stratified_split", f"""
@@ -137,15 +142,6 @@ def j08(spark, d):
     return _evidence(spark, d).groupBy("query_id").agg(n.alias("gold"), docs.alias("documents"), ((n >= 2) & (docs >= 2)).alias("two_documents"))
 
 
-@add("j09_synthesis_pairs", f"""
-WITH {QUESTIONS}, h AS (SELECT query_id, category, row_number() OVER (ORDER BY {salted_sql('pair', 'query_id')}) - 1 AS r FROM qs)
-SELECT a.query_id AS query_a, b.query_id AS query_b FROM h a JOIN h b ON a.r % 2 = 0 AND b.r = a.r + 1 AND a.category <> b.category""")
-def j09(spark, d):
-    h = row_number_in_groups(questions(spark, d).select("query_id", "category"), [], salted("pair", "query_id"), "r", salt_bits=10).withColumn("r", F.col("r") - 1)
-    a = h.where("r % 2 = 0").select(F.col("query_id").alias("query_a"), F.col("category").alias("ca"), (F.col("r") + 1).alias("r"))
-    return a.join(h.select("r", F.col("query_id").alias("query_b"), F.col("category").alias("cb")), "r").where("ca <> cb").select("query_a", "query_b")
-
-
 @add("j09_synthesis_rounds")
 def j09_rounds(spark, d):
     """Every question that can be is paired, across categories and with disjoint documents of its positive judgments."""
@@ -187,11 +183,20 @@ def j13(spark, d):
 
 
 @add("j14_trace_pick", f"""
-WITH {RANKED} SELECT retriever, query_id FROM (SELECT DISTINCT retriever, query_id FROM ranked) QUALIFY row_number() OVER (PARTITION BY retriever ORDER BY sha256('trace:' || query_id), query_id) = 1""")
+WITH {RANKED}, {QUESTIONS}, c AS (SELECT retriever, coalesce(category, 'unknown') AS category, min({{'h': sha256('trace:' || r.query_id), 'q': r.query_id}}) AS b FROM (SELECT DISTINCT retriever, query_id FROM ranked) r LEFT JOIN qs USING (query_id) GROUP BY ALL),
+l AS (SELECT list({{'s': retriever, 'h': b.h, 'q': b.q, 'c': category}} ORDER BY retriever, b.h, b.q) AS all_ FROM c),
+f AS (SELECT list_reduce(all_, lambda acc, x: CASE WHEN len(list_filter(acc, lambda y: y.s = x.s OR y.c = x.c)) = 0 THEN list_append(acc, x) ELSE acc END, CAST([] AS STRUCT(s VARCHAR, h VARCHAR, q VARCHAR, c VARCHAR)[])) AS t FROM l)
+SELECT x.s AS retriever, x.q AS query_id, x.c AS category FROM (SELECT unnest(t) AS x FROM f)""")
 def j14(spark, d):
-    lists = ranked(spark, d).select("retriever", "query_id").distinct()
-    best = lists.groupBy("retriever").agg(F.min(F.struct(F.sha2(F.concat(F.lit("trace:"), "query_id"), 256).alias("h"), "query_id")).alias("b"))
-    return best.select("retriever", "b.query_id")
+    """One query for each system in the order of its name, by hash, of a category no system before it has; systems times categories rows are looked at."""
+    lists = ranked(spark, d).select("retriever", "query_id").distinct().join(questions(spark, d).select("query_id", "category"), "query_id", "left")
+    best = lists.groupBy("retriever", F.coalesce("category", F.lit("unknown")).alias("category")).agg(F.min(F.struct(F.sha2(F.concat(F.lit("trace:"), "query_id"), 256).alias("h"), "query_id")).alias("b"))
+    ordered = best.agg(F.array_sort(F.collect_list(F.struct("retriever", "b.h", "b.query_id", "category"))).alias("all"))
+    picked = F.aggregate(
+        "all", F.expr("cast(array() as array<struct<retriever:string,h:string,query_id:string,category:string>>)"),
+        lambda acc, x: F.when(F.exists(acc, lambda y: (y["retriever"] == x["retriever"]) | (y["category"] == x["category"])), acc).otherwise(F.concat(acc, F.array(x))),
+    )
+    return ordered.select(F.inline(picked)).drop("h")
 
 
 @add("j15_publication_gate", """
@@ -270,15 +275,19 @@ def k05(spark, d):
     return runs.groupBy(cfg.alias("config_hash")).agg(F.count(F.lit(1)).alias("runs"), F.countDistinct("retriever").alias("retrievers"))
 
 
-@add("k06_manifest_diff", """
-WITH o AS (SELECT lower(trim(document_id)) AS doc, min(text_sha256) AS sha FROM extracted_documents WHERE ocr_used = false AND document_id IS NOT NULL GROUP BY 1), n AS (SELECT lower(trim(document_id)) AS doc, max(source_sha256) AS src, max(text_sha256) AS sha FROM extracted_documents WHERE document_id IS NOT NULL GROUP BY 1)
-SELECT coalesce(o.doc, n.doc) AS doc, CASE WHEN o.doc IS NULL THEN 'new' WHEN n.doc IS NULL THEN 'missing' WHEN o.sha <> n.sha THEN 'changed' ELSE 'same' END AS state FROM o FULL JOIN n ON o.doc = n.doc""")
+_MANIFEST = "SELECT lower(trim(document_id)) || '#' || chunk_index AS path, min(text_sha256) AS sha FROM chunks_v2 WHERE document_id IS NOT NULL AND chunk_index IS NOT NULL AND corpus_version {} GROUP BY 1"
+
+
+@add("k06_manifest_diff", f"""
+WITH o AS ({_MANIFEST.format("= 'pilot-v2'")}), n AS ({_MANIFEST.format("> 'pilot-v2'")})
+SELECT coalesce(o.path, n.path) AS path, CASE WHEN o.path IS NULL THEN 'new' WHEN n.path IS NULL THEN 'missing' WHEN o.sha IS DISTINCT FROM n.sha THEN 'changed' ELSE 'same' END AS state FROM o FULL JOIN n ON o.path = n.path""")
 def k06(spark, d):
-    e = table(spark, d, "extracted_documents").where("document_id is not null").withColumn("doc", F.lower(F.trim("document_id")))
-    o = e.where("not ocr_used").groupBy("doc").agg(F.min("text_sha256").alias("old"))
-    n = e.groupBy("doc").agg(F.max("text_sha256").alias("new"))
-    state = F.when(F.col("old").isNull(), "new").when(F.col("new").isNull(), "missing").when(F.col("old") != F.col("new"), "changed").otherwise("same")
-    return o.join(n, "doc", "full_outer").select("doc", state.alias("state"))
+    """The manifest of one release of the chunks against that of the later ones."""
+    c = table(spark, d, "chunks_v2").where("document_id is not null and chunk_index is not null").withColumn("path", F.concat(F.lower(F.trim("document_id")), F.lit("#"), F.col("chunk_index").cast("string")))
+    o = c.where("corpus_version = 'pilot-v2'").groupBy("path").agg(F.min("text_sha256").alias("old"), F.lit(True).alias("in_old"))
+    n = c.where("corpus_version > 'pilot-v2'").groupBy("path").agg(F.min("text_sha256").alias("new"), F.lit(True).alias("in_new"))
+    state = F.when(F.col("in_old").isNull(), "new").when(F.col("in_new").isNull(), "missing").when(~F.col("old").eqNullSafe(F.col("new")), "changed").otherwise("same")
+    return o.join(n, "path", "full_outer").select("path", state.alias("state"))
 
 
 @add("k07_release_gate", """
@@ -290,10 +299,17 @@ def k07(spark, d):
 
 
 @add("k08_context", f"""
-WITH {RANKED} SELECT run_id, string_agg('E' || lpad(CAST(rank AS VARCHAR), 2, '0') || '=' || chunk_id, ';' ORDER BY rank) AS context FROM ranked WHERE rank <= 5 GROUP BY run_id""")
+WITH {RANKED}, c AS (SELECT chunk_id, min(text) AS text FROM chunks_v2 WHERE text IS NOT NULL GROUP BY chunk_id), e AS (SELECT depth, run_id, rank, 'E' || lpad(CAST(rank AS VARCHAR), 2, '0') AS id, chunk_id, coalesce(text, '') AS text FROM ranked LEFT JOIN c USING (chunk_id), (VALUES (3), (5), (10)) v(depth) WHERE rank <= depth)
+SELECT CAST(depth AS INT) AS depth, run_id, count(*) AS evidence, string_agg(id || '=' || chunk_id, ';' ORDER BY rank) AS id_map, md5(string_agg(id || '|' || md5(text), ';' ORDER BY rank)) AS context_md5 FROM e GROUP BY ALL""")
 def k08(spark, d):
-    top = ranked(spark, d, 5).select("run_id", F.struct("rank", F.concat(F.lit("E"), F.lpad(F.col("rank").cast("string"), 2, "0"), F.lit("="), "chunk_id").alias("e")).alias("s"))
-    return top.groupBy("run_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["e"]), ";").alias("context"))
+    """The first 3, 5 and 10 results of each run as numbered evidence with their texts (as a digest), and the map from numbers to chunks."""
+    texts = table(spark, d, "chunks_v2").where("text is not null").groupBy("chunk_id").agg(F.md5(F.min("text")).alias("digest"))
+    top = ranked(spark, d, 10).join(texts, "chunk_id", "left").select("run_id", "rank", "chunk_id", F.concat(F.lit("E"), F.lpad(F.col("rank").cast("string"), 2, "0")).alias("id"), F.coalesce("digest", F.md5(F.lit(""))).alias("digest"))
+    each = top.select("*", F.explode(F.array(F.lit(3), F.lit(5), F.lit(10))).alias("depth")).where("rank <= depth")
+    lists = each.groupBy("depth", "run_id").agg(F.count(F.lit(1)).alias("evidence"), F.array_sort(F.collect_list(F.struct("rank", "id", "chunk_id", "digest"))).alias("e"))
+    named = F.array_join(F.transform("e", lambda x: F.concat(x["id"], F.lit("="), x["chunk_id"])), ";")
+    held = F.md5(F.array_join(F.transform("e", lambda x: F.concat(x["id"], F.lit("|"), x["digest"])), ";"))
+    return lists.select("depth", "run_id", "evidence", named.alias("id_map"), held.alias("context_md5"))
 
 
 @add("k09_panel_completeness", """
@@ -305,18 +321,6 @@ def k09(spark, d):
     return runs.groupBy("query_id").agg(F.countDistinct("retriever").alias("present")).withColumn("missing", F.lit(systems) - F.col("present"))
 
 
-@add("k10_answer_validation", f"""
-WITH {RANKED}, a AS (SELECT run_id, '[E01] [E' || lpad(CAST(max(rank) + run_id % 2 AS VARCHAR), 2, '0') || ']' AS answer, list('E' || lpad(CAST(rank AS VARCHAR), 2, '0')) AS given FROM ranked WHERE rank <= 5 GROUP BY run_id)
-SELECT run_id, CAST(len(regexp_extract_all(answer, 'E\\d{{2}}')) AS INT) AS cited, len(list_filter(regexp_extract_all(answer, 'E\\d{{2}}'), lambda x: NOT list_contains(given, x))) = 0 AS valid FROM a""")
-def k10(spark, d):
-    """Citations of an answer must be among the evidence given; answers are composed from the runs."""
-    e = lambda n: F.concat(F.lit("E"), F.lpad(n.cast("string"), 2, "0"))
-    top = ranked(spark, d, 5).groupBy("run_id").agg(F.collect_set(e(F.col("rank"))).alias("given"), F.max("rank").alias("last"))
-    answer = F.concat(F.lit("[E01] ["), e(F.col("last") + F.col("run_id") % 2), F.lit("]"))
-    cited = F.regexp_extract_all(answer, F.lit(r"E\d{2}"), F.lit(0))
-    return top.select("run_id", F.size(cited).alias("cited"), (F.size(F.array_except(cited, F.col("given"))) == 0).alias("valid"))
-
-
 @add("k11_dependency_gate", "SELECT chunk_id, count(DISTINCT text_sha256) AS hashes FROM chunks_v2 GROUP BY chunk_id HAVING count(DISTINCT text_sha256) > 1")
 def k11(spark, d):
     return table(spark, d, "chunks_v2").groupBy("chunk_id").agg(F.countDistinct("text_sha256").alias("hashes")).where("hashes > 1")
