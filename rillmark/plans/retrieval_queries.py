@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rillmark.functions import text as X
+from rillmark.operators import entities as E
 from rillmark.operators import graph as G
 from rillmark.operators import metrics as M
 from rillmark.operators import retrieval as R
 from rillmark.operators.components import connected_components
+from rillmark.plans.benchmark_queries import QUESTIONS, questions
 from rillmark.plans.catalogue import REGISTRY
 from rillmark.plans.metric_queries import LIST, panel, query_categories, ranked
 from rillmark.plans.sql_parts import PANEL, RANKED
@@ -202,22 +204,57 @@ def f09(spark, d):
     return a.groupBy("alias").agg(F.count(F.lit(1)).alias("schemes"), F.min("scheme").alias("first_scheme"))
 
 
+_LAWS = E.LAW
 _TYPED = r"""
-x AS (SELECT 'document:' || lower(trim(document_id)) AS doc, 'scheme:' || lower(trim(scheme_id)) AS scheme, 'ministry:' || trim(regexp_replace(lower(ministry), '[^\p{L}\p{N}]+', ' ', 'g')) AS ministry,
+x AS (SELECT 'document:' || lower(trim(document_id)) AS doc, 'scheme:' || trim(regexp_replace(lower(title), '[^\p{L}\p{N}]+', ' ', 'g')) AS scheme, 'ministry:' || trim(regexp_replace(lower(ministry), '[^\p{L}\p{N}]+', ' ', 'g')) AS ministry,
  'department:' || trim(regexp_replace(lower(department), '[^\p{L}\p{N}]+', ' ', 'g')) AS department FROM extracted_documents),
+ct AS (SELECT chunk_id, min('document:' || lower(trim(document_id))) AS doc, min(text) AS text FROM chunks_v2 WHERE chunk_id IS NOT NULL GROUP BY chunk_id),
+p0 AS (SELECT chunk_id, unnest(regexp_extract_all(text, '[A-Z][a-zA-Z]+(?:\s+[A-Z][a-zA-Z]+)*')) AS m, generate_subscripts(regexp_extract_all(text, '[A-Z][a-zA-Z]+(?:\s+[A-Z][a-zA-Z]+)*'), 1) AS p FROM ct),
+p1 AS (SELECT chunk_id, regexp_replace(lower(m), '\s+', ' ', 'g') AS entity, min(p) AS position FROM p0 WHERE length(m) > 3 GROUP BY ALL), pf AS (SELECT entity, count(*) AS documents FROM p1 GROUP BY entity HAVING count(*) >= 2), pm AS (SELECT p1.* FROM p1 JOIN pf USING (entity)),
+px AS (SELECT entity AS x, lead(entity, 1) OVER w AS y1, lead(entity, 2) OVER w AS y2 FROM pm WINDOW w AS (PARTITION BY chunk_id ORDER BY position)),
+pc AS (SELECT least(x, y) AS a, greatest(x, y) AS b, count(*) AS weight FROM (SELECT x, y1 AS y FROM px UNION ALL SELECT x, y2 FROM px) WHERE y IS NOT NULL AND x <> y GROUP BY ALL),
 typed AS (SELECT src, dst, relation, count(*) AS weight FROM (SELECT doc AS src, scheme AS dst, 'describes_scheme' AS relation FROM x UNION ALL SELECT scheme, ministry, 'administered_by' FROM x UNION ALL SELECT ministry, department, 'managed_by' FROM x
- UNION ALL SELECT 'chunk:' || chunk_id, 'document:' || lower(trim(document_id)), 'chunk_of' FROM chunks_v2) WHERE src IS NOT NULL AND dst IS NOT NULL GROUP BY ALL)"""
+ UNION ALL SELECT 'chunk:' || chunk_id, doc, 'chunk_of' FROM ct UNION ALL SELECT 'chunk:' || chunk_id, 'law:' || trim(regexp_replace(lower(l), '[^\p{L}\p{N}]+', ' ', 'g')), 'references_law' FROM (SELECT chunk_id, unnest(regexp_extract_all(text, '""" + _LAWS.replace("'", "''") + r"""')) AS l FROM ct)
+ UNION ALL SELECT 'chunk:' || chunk_id, 'entity:' || entity, 'mentions' FROM pm) WHERE src IS NOT NULL AND dst IS NOT NULL GROUP BY ALL UNION ALL SELECT 'entity:' || a, 'entity:' || b, 'co_occurs', weight FROM pc)"""
 
 
 def _typed(spark, d) -> DataFrame:
+    """Typed edges with their weights. Of the relations of such a graph implemented-by and targets have no column here."""
     name = lambda kind, c: F.concat(F.lit(kind + ":"), c)
     x = table(spark, d, "extracted_documents").select(
-        name("document", F.lower(F.trim("document_id"))).alias("doc"), name("scheme", F.lower(F.trim("scheme_id"))).alias("scheme"), name("ministry", X.unicode_norm(F.col("ministry"))).alias("ministry"), name("department", X.unicode_norm(F.col("department"))).alias("department")
+        name("document", F.lower(F.trim("document_id"))).alias("doc"), name("scheme", X.unicode_norm(F.col("title"))).alias("scheme"), name("ministry", X.unicode_norm(F.col("ministry"))).alias("ministry"), name("department", X.unicode_norm(F.col("department"))).alias("department")
     )
-    chunks = table(spark, d, "chunks_v2").select(name("chunk", F.col("chunk_id")).alias("src"), name("document", F.lower(F.trim("document_id"))).alias("dst"), F.lit("chunk_of").alias("relation"))
+    chunks = materialize(table(spark, d, "chunks_v2").where("chunk_id is not null").groupBy("chunk_id").agg(F.min(name("document", F.lower(F.trim("document_id")))).alias("doc"), F.min("text").alias("text")))
+    mentions = materialize(G.entity_mentions(chunks, "chunk_id", "text"))
+    chunk = name("chunk", F.col("chunk_id")).alias("src")
+    laws = chunks.select(chunk, F.explode(F.regexp_extract_all("text", F.lit(_LAWS), F.lit(0))).alias("law")).select("src", name("law", X.unicode_norm(F.col("law"))).alias("dst"), F.lit("references_law").alias("relation"))
     edges = [x.select(F.col(a).alias("src"), F.col(b).alias("dst"), F.lit(r).alias("relation")) for a, b, r in (("doc", "scheme", "describes_scheme"), ("scheme", "ministry", "administered_by"), ("ministry", "department", "managed_by"))]
-    both = reduce(DataFrame.unionByName, [*edges, chunks]).where("src is not null and dst is not null")
-    return both.groupBy("src", "dst", "relation").agg(F.count(F.lit(1)).alias("weight"))
+    edges += [chunks.select(chunk, F.col("doc").alias("dst"), F.lit("chunk_of").alias("relation")), laws, mentions.select(chunk, name("entity", F.col("entity")).alias("dst"), F.lit("mentions").alias("relation"))]
+    counted = reduce(DataFrame.unionByName, edges).where("src is not null and dst is not null").groupBy("src", "dst", "relation").agg(F.count(F.lit(1)).alias("weight"))
+    return counted.unionByName(G.co_occurrences(mentions, "chunk_id").select(name("entity", F.col("a")).alias("src"), name("entity", F.col("b")).alias("dst"), F.lit("co_occurs").alias("relation"), "weight"))
+
+
+#: Weight of a seed by the type of its node: fixed values.
+_TYPE_WEIGHTS = {"scheme": 1.0, "law": 0.9, "ministry": 0.75, "department": 0.75, "entity": 0.6}
+_BARE = r"\b(?:scheme|programme|program|mission|yojana)\b"
+_TYPED_SEEDS = rf"""
+nd AS (SELECT DISTINCT node, split_part(node, ':', 1) AS kind, substr(node, instr(node, ':') + 1) AS label FROM (SELECT src AS node FROM typed UNION ALL SELECT dst FROM typed)),
+la AS (SELECT node, kind, label AS alias FROM nd WHERE kind IN ('scheme', 'law', 'ministry', 'department', 'entity') UNION SELECT node, kind, trim(regexp_replace(regexp_replace(label, '{_BARE}', ' ', 'g'), ' +', ' ', 'g')) FROM nd WHERE kind = 'scheme'),
+lb AS (SELECT * FROM la WHERE length(alias) >= 4), qn AS (SELECT query_id, ' ' || trim(regexp_replace(lower(question), '[^\p{{L}}\p{{N}}]+', ' ', 'g')) || ' ' AS q FROM qs),
+sd AS (SELECT DISTINCT query_id, node, CAST(CASE kind {" ".join(f"WHEN '{k}' THEN {w}" for k, w in _TYPE_WEIGHTS.items())} END AS DOUBLE) AS weight FROM qn JOIN lb ON contains(q, ' ' || alias || ' '))"""
+
+
+def _typed_seeds(spark, d, edges: DataFrame) -> DataFrame:
+    nodes = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct().select("node", F.substring_index("node", ":", 1).alias("kind"), F.expr("substring(node, instr(node, ':') + 1)").alias("label"))
+    bare = F.trim(F.regexp_replace(F.regexp_replace("label", _BARE, " "), " +", " "))
+    names = nodes.where(F.col("kind").isin(*_TYPE_WEIGHTS)).select("node", "kind", F.explode(F.array_distinct(F.array("label", F.when(F.col("kind") == "scheme", bare).otherwise(F.col("label"))))).alias("alias")).where("length(alias) >= 4")
+    names = materialize(names)
+    asked = questions(spark, d).select("query_id", X.unicode_norm(F.col("question")).alias("question"))
+    hit = G.phrase_occurrences(asked, "query_id", "question", names.select("alias").distinct(), "alias").select("query_id", F.col("phrase").alias("alias")).distinct().join(names, "alias")
+    weight = F.lit(None).cast("double")
+    for kind, w in _TYPE_WEIGHTS.items():
+        weight = F.when(F.col("kind") == kind, w).otherwise(weight)
+    return hit.select("query_id", "node", weight.alias("weight")).distinct()
 
 
 @add("f13_typed_graph", f"WITH {_TYPED} SELECT * FROM typed")
@@ -225,25 +262,33 @@ def f13(spark, d):
     return _typed(spark, d)
 
 
+@add("f14_typed_seeds", f"WITH {_TYPED}, {QUESTIONS}, {_TYPED_SEEDS} SELECT query_id, node, weight FROM sd")
+def f14(spark, d):
+    return _typed_seeds(spark, d, materialize(_typed(spark, d)))
+
+
 @add("f15_typed_propagation", f"""
-WITH {_TYPED}, s AS (SELECT DISTINCT dst AS seed FROM typed WHERE relation = 'administered_by'),
-dg AS (SELECT n, count(*) AS degree FROM (SELECT src AS n FROM typed UNION ALL SELECT dst FROM typed) GROUP BY n),
-back AS (SELECT dst AS f, src AS t, least(weight, 3) AS w FROM typed),
-h1 AS (SELECT seed, t AS node, max(0.9 * 0.5 * w / log2(degree + 2)) AS score FROM s JOIN back ON f = seed JOIN dg ON dg.n = t GROUP BY ALL),
-h2 AS (SELECT seed, t AS node, max(score * 0.5 * w / log2(degree + 2)) AS score FROM h1 JOIN back ON f = node JOIN dg ON dg.n = t GROUP BY ALL),
-h3 AS (SELECT seed, t AS node, max(score * 0.5 * w / log2(degree + 2)) AS score FROM h2 JOIN back ON f = node JOIN dg ON dg.n = t GROUP BY ALL)
-SELECT seed, node, round(max(score), 6) AS score FROM (SELECT * FROM h1 UNION ALL SELECT * FROM h2 UNION ALL SELECT * FROM h3) GROUP BY ALL""")
+WITH {_TYPED}, {QUESTIONS}, {_TYPED_SEEDS}, pairs AS (SELECT src AS f, dst AS t, sum(weight) AS w FROM (SELECT src, dst, weight FROM typed UNION ALL SELECT dst, src, weight FROM typed) GROUP BY ALL),
+dg AS (SELECT f AS n, count(*) AS degree FROM pairs GROUP BY f), step AS (SELECT f, t, 0.5 * least(w, 3) / log2(degree + 2) AS k FROM pairs JOIN dg ON dg.n = t),
+h0 AS (SELECT DISTINCT node AS seed, node, weight AS score FROM sd), h1 AS (SELECT seed, t AS node, max(score * k) AS score FROM h0 JOIN step ON f = node GROUP BY ALL), h2 AS (SELECT seed, t AS node, max(score * k) AS score FROM h1 JOIN step ON f = node GROUP BY ALL),
+h3 AS (SELECT seed, t AS node, max(score * k) AS score FROM h2 JOIN step ON f = node WHERE starts_with(t, 'chunk:') GROUP BY ALL), best AS (SELECT seed, node, max(score) AS score FROM (SELECT * FROM h1 UNION ALL SELECT * FROM h2 UNION ALL SELECT * FROM h3) WHERE starts_with(node, 'chunk:') GROUP BY ALL),
+sc AS (SELECT query_id, substr(best.node, 7) AS chunk, round(sum(score), 6) AS score FROM sd JOIN best ON best.seed = sd.node GROUP BY ALL)
+SELECT query_id, chunk, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk) AS rank FROM sc) WHERE rank <= 10""")
 def f15(spark, d):
-    edges = _typed(spark, d)
-    degree = edges.select(F.explode(F.array("src", "dst")).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("degree"))
-    back = edges.select(F.col("dst").alias("node"), F.col("src").alias("t"), F.least("weight", F.lit(3)).alias("w")).join(degree, "t")
-    at = edges.where("relation = 'administered_by'").select(F.col("dst").alias("seed")).distinct().select("seed", F.col("seed").alias("node"), F.lit(0.9).alias("score"))
-    reached = None
-    for _ in range(3):
-        step = F.col("score") * 0.5 * F.col("w") / F.log2(F.col("degree") + 2)
-        at = at.join(back, "node").groupBy("seed", F.col("t").alias("node")).agg(F.max(step).alias("score"))
+    """Chunks by the best path of up to three steps from each typed seed of a question, both ways along the edges; a seed is walked once however many questions share it."""
+    edges = materialize(_typed(spark, d))
+    seeds = materialize(_typed_seeds(spark, d, edges))
+    pairs = materialize(edges.select(F.col("src").alias("node"), F.col("dst").alias("t"), "weight").union(edges.select("dst", "src", "weight")).groupBy("node", "t").agg(F.sum("weight").alias("w")))
+    degree = pairs.groupBy(F.col("node").alias("t")).agg(F.count(F.lit(1)).alias("degree"))
+    step = materialize(pairs.join(degree, "t").select("node", "t", (F.lit(0.5) * F.least("w", F.lit(3)) / F.log2(F.col("degree") + 2)).alias("k")))
+    at, reached = seeds.select(F.col("node").alias("seed"), "node", F.col("weight").alias("score")).distinct(), None
+    for hop in range(3):
+        onward = step.where(F.col("t").startswith("chunk:")) if hop == 2 else step  # the last step needs to meet chunks only
+        at = materialize(at.join(onward, "node").groupBy("seed", F.col("t").alias("node")).agg(F.max(F.col("score") * F.col("k")).alias("score")))
         reached = at if reached is None else reached.unionByName(at)
-    return reached.groupBy("seed", "node").agg(F.round(F.max("score"), 6).alias("score"))
+    best = reached.where(F.col("node").startswith("chunk:")).groupBy("seed", F.expr("substring(node, 7)").alias("chunk")).agg(F.max("score").alias("score"))
+    scored = best.join(seeds.select("query_id", F.col("node").alias("seed")), "seed").groupBy("query_id", "chunk").agg(F.sum("score").alias("score"))
+    return R.top_k(scored, "query_id", "chunk", "score", 10)
 
 
 _BEST = f"{RANKED}, best AS (SELECT query_id, retriever, chunk_id, min(rank) AS rank FROM ranked GROUP BY ALL)"
