@@ -64,19 +64,31 @@ def b32(spark, d):
     return table(spark, d, "orders").select("o_orderkey", F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")).alias("position"))
 
 
-@add("c12_json_leaves")
+_LEAVES = r"""
+jt AS (SELECT e.ext_row, t.id, t.key, trim(t.atom ->> '$', chr(32) || chr(9) || chr(10) || chr(13)) AS leaf, replace(regexp_replace(regexp_replace(t.fullkey, '^\$\.?', ''), '\[[0-9]+\]', '', 'g'), '"', '') AS path
+ FROM (SELECT ext_row, try_cast(text AS JSON) AS j FROM extracted_documents WHERE starts_with(ltrim(text), '{') OR starts_with(ltrim(text), '[')) e, json_tree(e.j) t WHERE t.type = 'VARCHAR'),
+jl AS (SELECT *, array_to_string(regexp_extract_all(lower(leaf), '[a-z0-9]+'), ' ') AS norm FROM jt WHERE leaf <> '' AND coalesce(key, '') NOT IN (""" + ", ".join(f"'{k}'" for k in records.SKIPPED_KEYS) + """)),
+jf AS (SELECT * FROM jl QUALIFY row_number() OVER (PARTITION BY ext_row, norm ORDER BY id) = 1), lv AS (SELECT ext_row, CAST(row_number() OVER (PARTITION BY ext_row ORDER BY id) - 1 AS INT) AS position, path, leaf FROM jf)"""
+
+
+@add("c12_json_leaves", f"WITH {_LEAVES} SELECT ext_row, position, path, leaf FROM lv")
 def c12(spark, d):
     return records.json_leaves(table(spark, d, "extracted_documents"), "ext_row", "text")
 
 
-@add("c14_headed_projection")
+@add("c14_headed_projection", f"""
+WITH {_LEAVES}, h AS (SELECT *, array_to_string(list_transform(string_split(replace(string_split(path, '.')[-1], '_', ' '), ' '), lambda w: upper(left(w, 1)) || lower(substr(w, 2))), ' ') || ': ' || leaf AS line FROM lv)
+SELECT ext_row, string_agg(line, chr(10) ORDER BY position) AS projection FROM h GROUP BY ext_row""")
 def c14(spark, d):
     leaves = records.json_leaves(table(spark, d, "extracted_documents"), "ext_row", "text")
     line = F.concat(F.initcap(F.translate(F.element_at(F.split("path", r"\."), -1), "_", " ")), F.lit(": "), "leaf")
     return leaves.groupBy("ext_row").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", line.alias("line")))), lambda s: s["line"]), "\n").alias("projection"))
 
 
-@add("c15_prose_projection")
+@add("c15_prose_projection", rf"""
+WITH {_LEAVES}, p AS (SELECT ext_row, string_agg(leaf, ' ' ORDER BY position) AS text FROM lv GROUP BY ext_row)
+SELECT ext_row, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '!\[[^\]]*\]\([^)]*\)', ' ', 'g'), '\[([^\]]+)\]\([^)]*\)', '\1', 'g'), '(?m)^[ \t]*#{{1,6}}[ \t]*', '', 'g'), '(?m)^[ \t]*[-*+][ \t]+', '', 'g'), '[*`]+', '', 'g') AS prose,
+ len(list_filter(regexp_split_to_array(text, '\s+'), lambda s: s <> '')) >= 80 AS long_enough FROM p""")
 def c15(spark, d):
     leaves = records.json_leaves(table(spark, d, "extracted_documents"), "ext_row", "text")
     prose = leaves.groupBy("ext_row").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "leaf"))), lambda s: s["leaf"]), " ").alias("prose"))
