@@ -200,6 +200,22 @@ def test_graph_scores_by_hand(spark):
     assert got == {"c1": pytest.approx((math.log(11 / 2) + 1) * 0.5), "c2": pytest.approx((math.log(11 / 2) + 1) * 0.25)}
 
 
+@pytest.mark.parametrize(("frequent", "most"), [(62, 1000), (4, 1000), (62, 60), (0, 1)])
+def test_weighted_hop_top_is_the_ranking_cut(spark, frequent, most):
+    rng = random.Random(5)
+    pool = [f"e{i}" for i in range(40)]
+    held = [(f"c{i:03d}", e) for i in range(150) for e in {pool[min(int(rng.expovariate(0.15)), 39)] for _ in range(rng.randint(1, 4))}]
+    co = sorted({(a, b) for c, a in held for d, b in held if c == d and a < b} | {("e1", "gone"), ("e3", "e39")})
+    seeds = sorted({(q, e) for q in range(30) for e in rng.sample([*pool, "gone"], rng.randint(1, 4))} | {(99, "no such")})
+    seeds, contains = spark.createDataFrame(seeds, "q long, entity string"), spark.createDataFrame(held, "c string, entity string")
+    frequency = spark.createDataFrame([(e, 1 + i % 7) for i, e in enumerate([*pool, "gone"])], "entity string, documents long")
+    edges = spark.createDataFrame(co, "a string, b string")
+    whole = retrieval.top_k(graph.weighted_hop_ranking(seeds, contains, edges, frequency, 150, "q", "c"), "q", "c", "score", 10)
+    top = retrieval.top_k(graph.weighted_hop_top(seeds, contains, edges, frequency, 150, "q", "c", 10, frequent, most), "q", "c", "score", 10)
+    want = sorted(map(tuple, whole.select("q", "c", "seeds", "score", "rank").collect()))
+    assert len(want) > 200 and sorted(map(tuple, top.select("q", "c", "seeds", "score", "rank").collect())) == want
+
+
 def test_phrase_spans(spark):
     texts = {"d": "\u0130 said: Gram  Sabha, (gram-sabha)\nx", "c": "one two three four five six seven eight", "e": '{"a": "gram sabha"}' + " y" * 200, "n": None}
     df = spark.createDataFrame(list(texts.items()), "k string, t string")
