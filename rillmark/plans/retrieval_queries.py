@@ -234,8 +234,6 @@ def _typed(spark, d) -> DataFrame:
     return counted.unionByName(G.co_occurrences(mentions, "chunk_id").select(name("entity", F.col("a")).alias("src"), name("entity", F.col("b")).alias("dst"), F.lit("co_occurs").alias("relation"), "weight"))
 
 
-#: Steps of the walk; a third step reaches most of the graph from every seed.
-_STEPS = 2
 #: Weight of a seed by the type of its node: fixed values.
 _TYPE_WEIGHTS = {"scheme": 1.0, "law": 0.9, "ministry": 0.75, "department": 0.75, "entity": 0.6}
 _BARE = r"\b(?:scheme|programme|program|mission|yojana)\b"
@@ -277,19 +275,14 @@ best AS (SELECT seed, node, max(score) AS score FROM (SELECT * FROM h1 UNION ALL
 sc AS (SELECT query_id, substr(best.node, 7) AS chunk, round(sum(score), 6) AS score FROM sd JOIN best ON best.seed = sd.node GROUP BY ALL)
 SELECT query_id, chunk, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk) AS rank FROM sc) WHERE rank <= 10""")
 def f15(spark, d):
-    """Chunks by the best path of up to ``_STEPS`` steps from each typed seed of a question, both ways along the edges; a seed is walked once however many questions share it."""
+    """Chunks by the best path of up to two steps from each typed seed of a question, both ways along the edges; a seed is walked once however many questions share it."""
     edges = materialize(_typed(spark, d))
     seeds = materialize(_typed_seeds(spark, d, edges))
     pairs = materialize(edges.select(F.col("src").alias("node"), F.col("dst").alias("t"), "weight").union(edges.select("dst", "src", "weight")).groupBy("node", "t").agg(F.sum("weight").alias("w")))
     degree = pairs.groupBy(F.col("node").alias("t")).agg(F.count(F.lit(1)).alias("degree"))
-    step = materialize(pairs.join(degree, "t").select("node", "t", (F.lit(0.5) * F.least("w", F.lit(3)) / F.log2(F.col("degree") + 2)).alias("k")))
-    at, reached = seeds.select(F.col("node").alias("seed"), "node", F.col("weight").alias("score")).distinct(), None
-    for hop in range(_STEPS):
-        onward = step.where(F.col("t").startswith("chunk:")) if hop == _STEPS - 1 else step  # the last step needs to meet chunks only
-        at = materialize(at.join(onward, "node").groupBy("seed", F.col("t").alias("node")).agg(F.max(F.col("score") * F.col("k")).alias("score")))
-        reached = at if reached is None else reached.unionByName(at)
-    best = reached.where(F.col("node").startswith("chunk:")).groupBy("seed", F.expr("substring(node, 7)").alias("chunk")).agg(F.max("score").alias("score"))
-    scored = best.join(seeds.select("query_id", F.col("node").alias("seed")), "seed").groupBy("query_id", "chunk").agg(F.sum("score").alias("score"))
+    step = materialize(pairs.join(degree, "t").select("node", "t", F.least("w", F.lit(3)).alias("w"), "degree"))
+    top = G.two_step_top(step, seeds, "query_id", "chunk:")
+    scored = top.select("query_id", F.expr("substring(text, 7)").alias("chunk"), "score")
     return R.top_k(scored, "query_id", "chunk", "score", 10)
 
 

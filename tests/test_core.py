@@ -216,6 +216,39 @@ def test_weighted_hop_top_is_the_ranking_cut(spark, frequent, most):
     assert len(want) > 200 and sorted(map(tuple, top.select("q", "c", "seeds", "score", "rank").collect())) == want
 
 
+@pytest.mark.parametrize(("block", "most", "slice_bytes"), [(16, 10**6, 1), (10**6, 200, 10**6)])
+def test_two_step_top_is_the_best_paths_summed(spark, block, most, slice_bytes):
+    rng = random.Random(3)
+    nodes = [f"n{i}" for i in range(25)]
+    pairs = {(rng.choice(nodes), f"chunk:{rng.randrange(200):03d}") for _ in range(700)} | {tuple(rng.sample(nodes, 2)) for _ in range(60)}
+    weight = {e: rng.choice([1, 1, 1, 2, 3]) for e in sorted(pairs)}
+    weight |= {(b, a): w for (a, b), w in weight.items()}
+    degree = {}
+    for _, t in weight:
+        degree[t] = degree.get(t, 0) + 1
+    k = {(a, b): 0.5 * w / math.log2(degree[b] + 2) for (a, b), w in weight.items()}
+    value = {n: rng.choice([1.0, 0.9, 0.6]) for n in nodes}
+    seeds = [(q, n, value[n]) for q in range(20) for n in sorted(rng.sample(nodes, rng.randint(1, 4)))] + [(50, "alone", 0.6)]
+    want = []
+    for q in range(20):
+        total = {}
+        for n in [n for i, n, _ in seeds if i == q]:
+            best = {}
+            for (a, b), x in k.items():
+                if a == n and b.startswith("chunk:"):
+                    best[b] = max(best.get(b, 0), value[n] * x)
+                elif a == n:
+                    for (f, t), y in k.items():
+                        if f == b and t.startswith("chunk:"):
+                            best[t] = max(best.get(t, 0), value[n] * x * y)
+            for t, x in best.items():
+                total[t] = total.get(t, 0) + x
+        want += [(q, t, round(x, 6), i + 1) for i, (t, x) in enumerate(sorted(total.items(), key=lambda p: (-round(p[1], 6), p[0]))[:10])]
+    step = spark.createDataFrame([(a, b, w, degree[b]) for (a, b), w in weight.items()], "node string, t string, w long, degree long")
+    top = graph.two_step_top(step, spark.createDataFrame(seeds, "query long, node string, weight double"), "query", "chunk:", 10, block, most, slice_bytes)
+    assert sorted(map(tuple, retrieval.top_k(top, "query", "text", "score", 10).select("query", "text", "score", "rank").collect())) == sorted(want)
+
+
 def test_phrase_spans(spark):
     texts = {"d": "\u0130 said: Gram  Sabha, (gram-sabha)\nx", "c": "one two three four five six seven eight", "e": '{"a": "gram sabha"}' + " y" * 200, "n": None}
     df = spark.createDataFrame(list(texts.items()), "k string, t string")
