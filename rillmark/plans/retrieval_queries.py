@@ -278,9 +278,10 @@ def f15(spark, d):
     """Chunks by the best path of up to two steps from each typed seed of a question, both ways along the edges; a seed is walked once however many questions share it."""
     edges = materialize(_typed(spark, d))
     seeds = materialize(_typed_seeds(spark, d, edges))
-    pairs = materialize(edges.select(F.col("src").alias("node"), F.col("dst").alias("t"), "weight").union(edges.select("dst", "src", "weight")).groupBy("node", "t").agg(F.sum("weight").alias("w")))
-    degree = pairs.groupBy(F.col("node").alias("t")).agg(F.count(F.lit(1)).alias("degree"))
-    step = materialize(pairs.join(degree, "t").select("node", "t", F.least("w", F.lit(3)).alias("w"), "degree"))
+    both = edges.select(F.col("src").alias("node"), F.col("dst").alias("t"), "weight").union(edges.select("dst", "src", "weight"))
+    # one shuffle by the target serves the sums and the degrees
+    pairs = both.repartition("t").groupBy("node", "t").agg(F.sum("weight").alias("w"))
+    step = materialize(pairs.select("node", "t", F.least("w", F.lit(3)).cast("int").alias("w"), F.count(F.lit(1)).over(Window.partitionBy("t")).alias("degree")))
     top = G.two_step_top(step, seeds, "query_id", "chunk:")
     scored = top.select("query_id", F.expr("substring(text, 7)").alias("chunk"), "score")
     return R.top_k(scored, "query_id", "chunk", "score", 10)
