@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rillmark.functions.edits import near_texts
+from rillmark.functions.ranking import running_sum
 from rillmark.functions.text import ascii_tokens, let
-from rillmark.session import materialize
+from rillmark.session import materialize, shuffle_partitions, with_package
 
 
 def shingles(text: Column, size: int = 5) -> Column:
@@ -61,46 +66,43 @@ def shingle_pairs(df: DataFrame, key: str, text: str, threshold: float, size: in
     return scored.where(F.col("jaccard") >= threshold)
 
 
-def edit_candidates(df: DataFrame, key: str, text: str, threshold: float) -> DataFrame:
-    """Pairs ``a`` < ``b`` of rows that may have an edit ratio of at least ``threshold``; no pair of distinct texts is missing.
-
-    A ratio r means at least m = r (la + lb) / 2 characters matched in order, so at most D = la - m are deleted
-    and I = lb - m inserted. A deletion takes at most two of a's bigrams and an insertion one, so all but
-    2 D + I of them (counted with repeats) stand in b as well, and with bigrams in one order (rare ones
-    first) the first 2 D + I + 1 of a and the first D + 2 I + 1 of b share one. Only those are joined. The
-    join's condition holds sketches too: each differing bigram or character turns at most one bit, and
-    at most 3 (D + I) bigrams and D + I characters differ. Levenshtein's distance is at most D + I.
-    From 0.85 on every pair that differs shares a bigram; a lower threshold is refused.
+#: Characters of a block of texts at most, each text with so many besides its own; a smaller table is cut into so many blocks.
+BLOCK_CHARACTERS, TEXT_CHARACTERS, BLOCKS = 1 << 20, 32, 24
+
+
+def edit_pairs(df: DataFrame, key: str, text: str, threshold: float, block_characters: int = BLOCK_CHARACTERS, blocks: int = BLOCKS) -> DataFrame:
+    """All pairs ``a`` < ``b`` of rows with an edit ratio of at least ``threshold``, with their ``ratio``; exact.
+
+    Texts are cut into blocks in the order of their length, and each two blocks whose lengths allow the ratio are
+    one task's work: products of matrices bound the characters that two texts have in common, and the pairs that
+    pass are matched, many at once. So no pair is a row before it is judged, however many texts share their
+    wording. The work is still quadratic in the texts of like length. Null and empty texts have no pairs.
     """
-    if threshold < 0.85:
-        raise ValueError("edit candidates are complete from a threshold of 0.85 on")
-    texts = materialize(df.select(F.col(key).alias("k"), F.col(text).alias("t")).where(F.length(text) > 0))
-    pieces = texts.select("k", F.length("t").alias("n"), F.explode(F.expr("sequence(1, length(t))")).alias("i"), "t").select("k", "n", F.expr("substring(t, i, 2)").alias("g"), F.expr("substring(t, i, 1)").alias("c"))
-    # the last piece of a text has one character and is no bigram
-    grams = pieces.where("length(g) = 2").groupBy("k", "n", "g").agg(F.count(F.lit(1)).alias("times")).select("k", "n", F.explode(F.expr("transform(sequence(1, cast(times as int)), o -> xxhash64(g, o))")).alias("h"))
-    chars = pieces.groupBy("k", "c").agg(F.count(F.lit(1)).alias("times")).select("k", F.explode(F.expr("transform(sequence(1, cast(times as int)), o -> xxhash64(c, o))")).alias("h"))
-
-    def bit(bits: int, half: int = 0) -> Column:
-        return F.bit_xor(F.expr(f"if(shiftright(pmod(h, {bits}), 6) = {half}, shiftleft(1L, cast(pmod(h, 64) as int)), 0L)"))
-
-    grams = materialize(grams)
-    sketches = grams.groupBy("k").agg(bit(128).alias("s0"), bit(128, 1).alias("s1")).join(chars.groupBy("k").agg(bit(64).alias("s2")), "k")
-    common = grams.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    order = Window.partitionBy("k").orderBy("df", "h")
-    shared = grams.join(common, "h").withColumn("nth", F.row_number().over(order)).withColumn("shared", F.count(F.lit(1)).over(Window.partitionBy("k")))
-    # bigrams of one text only sort first and join nothing
-    placed = shared.withColumn("place", F.col("n") - 1 - F.col("shared") + F.col("nth"))
-    # the most that any partner's length can ask for: 2 D + I falls with it, and the shortest is n r / (2 - r)
-    most = F.floor(F.col("n") * (2 - 1.5 * threshold + (1 - 1.5 * threshold) * threshold / (2 - threshold)) + 1e-9) + 1
-    lead = materialize(placed.where(F.col("place") <= most).select("k", "n", "h", "place").join(sketches, "k"))
-    a = lead.select("h", *[F.col(c).alias(f"{c}a") for c in ("k", "n", "place", "s0", "s1", "s2")])
-    b = lead.select("h", *[F.col(c).alias(f"{c}b") for c in ("k", "n", "place", "s0", "s1", "s2")])
-    matched = f"cast(ceil((na + nb) * {threshold / 2!r} - 1e-9) as int)"
-    may = F.expr(f"""ka < kb and {matched} <= least(na, nb) and placea <= 2 * na + nb - 3 * {matched} + 1 and placeb <= na + 2 * nb - 3 * {matched} + 1
-        and bit_count(s2a ^ s2b) <= na + nb - 2 * {matched} and bit_count(s0a ^ s0b) + bit_count(s1a ^ s1b) <= 3 * (na + nb - 2 * {matched})""")
-    pairs = a.join(b, "h").where(may).select(F.col("ka").alias("a"), F.col("kb").alias("b")).distinct()
-    both = pairs.join(texts.select(F.col("k").alias("a"), F.col("t").alias("ta")), "a").join(texts.select(F.col("k").alias("b"), F.col("t").alias("tb")), "b")
-    return both.where(F.expr(f"levenshtein(ta, tb, cast(floor((length(ta) + length(tb)) * {1 - threshold!r} + 1e-9) as int)) >= 0")).select("a", "b", "ta", "tb")
+    texts = df.select(F.col(key).alias("k"), F.length(text).alias("n"), F.col(text).alias("t")).where("k is not null and n > 0")
+    placed = materialize(running_sum(texts, ["n", "k"], (F.col("n") + TEXT_CHARACTERS).cast("long"), "upto"))
+    size = min(block_characters, max(1, -(-(placed.agg(F.max("upto")).first()[0] or 0) // blocks)))
+    placed = placed.withColumn("block", F.floor((F.col("upto") - 1) / F.lit(size)))
+    spans = materialize(placed.groupBy("block").agg(F.min("n").alias("low"), F.max("n").alias("high")))
+    x, y = spans.select(F.col("block").alias("x"), "high"), spans.select(F.col("block").alias("y"), "low")
+    meet = x.join(y, F.expr(f"x <= y and low * {threshold!r} <= high * (2 - {threshold!r}) + 1e-6")).select("x", "y")
+    first = placed.join(meet, F.col("block") == F.col("x")).select("x", "y", F.lit(0).alias("side"), "k", "t")
+    second = placed.join(meet.where("x < y"), F.col("block") == F.col("y")).select("x", "y", F.lit(1).alias("side"), "k", "t")
+    both = first.unionByName(second)
+
+    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(batches), ignore_index=True)
+        yield from near_texts(rows["k"].to_numpy(), rows["t"].tolist(), rows["side"].to_numpy(), threshold)
+
+    kind = both.schema["k"].dataType.simpleString()
+    spread = with_package(both.repartition(4 * shuffle_partitions(both), "x", "y"))
+    return spread.groupBy("x", "y").applyInPandas(near, f"a {kind}, b {kind}, ratio double")
+
+
+def edit_candidates(df: DataFrame, key: str, text: str, threshold: float) -> DataFrame:
+    """The pairs of ``edit_pairs`` with their texts ``ta`` and ``tb``."""
+    texts = df.select(F.col(key).alias("k"), F.col(text).alias("t"))
+    with_a = edit_pairs(df, key, text, threshold).join(texts.select(F.col("k").alias("a"), F.col("t").alias("ta")), "a")
+    return with_a.join(texts.select(F.col("k").alias("b"), F.col("t").alias("tb")), "b").select("a", "b", "ta", "tb")
 
 
 def first_of(df: DataFrame, by: list[str], order: list) -> DataFrame:

@@ -104,11 +104,10 @@ def c29(spark, d):
 
 @add("c32_edit_similar_questions")
 def c32(spark, d):
-    """All pairs of distinct normal forms; the candidates come from a bound of the ratio, which is then computed."""
+    """All pairs of distinct normal forms, judged in pairs of blocks."""
     q = questions(spark, d).select("query_id", X.ascii_norm(F.col("question")).alias("norm")).where("norm <> ''")
     same = q.groupBy("norm").agg(F.min("query_id").alias("query_id"))
-    near = dedup.edit_candidates(same, "query_id", "norm", 0.88)
-    return records.edit_similarity(near, "ta", "tb", "ratio").where("ratio >= 0.88").select("a", "b", F.round("ratio", 6).alias("ratio"))
+    return dedup.edit_pairs(same, "query_id", "norm", 0.88).withColumn("ratio", F.round("ratio", 6))
 
 
 @add("c36_question_overlap", rf"""
